@@ -7,8 +7,9 @@ place. Windows can only be equal if their anchors are, so:
 
 1. anchors meet by hash; those that two documents have are reported back to their documents;
 2. each run of consecutive windows with one reported anchor becomes a segment, and segments meet
-   by anchor; there a suffix array gives the longest previous factor of every window's start,
-   previous meaning in a document with a smaller id; windows as long as that are covered;
+   by anchor; equal ones are one entry, and a suffix array over all entries whose anchor has
+   several gives the longest previous factor of every window's start, previous meaning in a
+   document with a smaller id; windows as long as that are covered;
 3. covered spans go back to their documents and are merged and cut out.
 
 Work on a slice of rows is combined before it moves: an anchor or segment that many documents
@@ -31,7 +32,7 @@ from skein.llm._text import U64, chunks, mix
 from skein.llm._work import Workspace, partitions
 
 ANCHOR = 20
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _NULL_ID = -(2**63)
 
 
@@ -57,18 +58,16 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _prefix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """(length, ranks of all suffixes by their first `length` bytes), by prefix doubling from 8
-    bytes up to depth (8 or more). Past the end lies what is smaller than any byte."""
-    n = len(data)
-    levels = [(8, _ranks(_words64(data)))]
-    while levels[-1][0] < depth:
-        length, rank = levels[-1]
+def _prefix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of all suffixes by their first `depth` bytes (8 or more), by prefix doubling from 8
+    bytes on. Past the end lies what is smaller than any byte."""
+    n, length, rank = len(data), 8, _ranks(_words64(data))
+    while length < depth:
         step = min(length, depth - length)  # the second half may overlap the first
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - step)] = rank[step:] + 1
-        levels.append((length + step, _ranks((rank << 32) + ahead)))
-    return levels
+        keys = rank << 32
+        keys[: max(0, n - step)] += rank[step:] + 1
+        rank, length = _ranks(keys), length + step
+    return rank
 
 
 def longest_previous(data: np.ndarray, owners: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -83,7 +82,7 @@ def longest_previous(data: np.ndarray, owners: np.ndarray, starts: np.ndarray, e
     n = len(starts)
     if not n:
         return np.zeros(0, np.int64)
-    rank = _prefix_ranks(data, depth)[-1][1][starts]
+    rank = _prefix_ranks(data, depth)[starts]
     rank = np.where(starts + depth <= ends, rank, -1 - np.arange(n))  # too short to matter: alone
     order = np.lexsort((starts, rank))
     owner, sorted_rank = owners[order], rank[order]
@@ -115,33 +114,50 @@ def longest_previous(data: np.ndarray, owners: np.ndarray, starts: np.ndarray, e
 # ---- anchors -------------------------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts and the places of their anchors, and the anchor hash at every place. A
-    window lies in one text. Its anchor is the leftmost smallest of its 20-byte strings."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of consecutive windows of one text with the same anchor: their first windows'
+    starts, how many windows, and the anchors' hashes. A window's anchor is the leftmost
+    smallest of its 20-byte strings. Works in blocks whose arrays stay in the cache."""
     n = len(data)
-    if n < length:
+    begins, counts, places, found = [], [], [], []
+    low_bits = U64((1 << 32) - 1)
+    for s in range(0, n - length + 1, block):
+        e = min(n - length + 1, s + block)  # windows s to e - 1
+        part = data[s : e + length - 1]
+        w = _words64(part)
+        m = len(part) - ANCHOR + 1
+        hashes = w[:m] * U64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> U64(29)
+        hashes += w[8 : 8 + m] * U64(0xC2B2AE3D27D4EB4F)
+        hashes ^= hashes >> U64(31)
+        hashes += w[ANCHOR - 8 : ANCHOR - 8 + m] * U64(0x165667B19E3779F9)
+        hashes = mix(hashes)
+        low = hashes & ~low_bits
+        low |= np.arange(m, dtype=U64)
+        width, have = length - ANCHOR + 1, 1
+        while have < width:
+            step = min(have, width - have)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            have += step
+        place = (low & low_bits).astype(np.int64)
+        good = np.ones(e - s, bool)
+        for edge in offsets[np.searchsorted(offsets, s, "right") : np.searchsorted(offsets, e + length - 1, "left")] - s:
+            good[max(0, edge - length + 1) : edge] = False  # windows across texts
+        at = np.flatnonzero(good)
+        if not len(at):
+            continue
+        place = place[at]
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
+        begins.append(at[first] + s)
+        counts.append(np.diff(np.append(first, len(at))))
+        places.append(place[first] + s)
+        found.append(hashes[place[first]])
+    if not begins:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    w = _words64(data)
-    m = n - ANCHOR + 1
-    hashes = w[:m] * U64(0x9E3779B97F4A7C15)
-    hashes ^= hashes >> U64(29)
-    hashes += w[8 : 8 + m] * U64(0xC2B2AE3D27D4EB4F)
-    hashes ^= hashes >> U64(31)
-    hashes += w[ANCHOR - 8 : ANCHOR - 8 + m] * U64(0x165667B19E3779F9)
-    hashes = mix(hashes)
-    bits = U64(32)  # always as many, so that equal windows choose alike
-    low = (hashes >> bits << bits) | np.arange(m, dtype=U64)
-    width, have = length - ANCHOR + 1, 1
-    while have < width:
-        step = min(have, width - have)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        have += step
-    place = (low & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    good = np.ones(len(place), bool)
-    for edge in offsets[1:-1]:  # windows across texts
-        good[max(0, edge - length + 1) : edge] = False
-    starts = np.flatnonzero(good)
-    return starts, place[starts], hashes
+    begin, count, place, hashed = (np.concatenate(x) for x in (begins, counts, places, found))
+    # a run that a block's end cut in two
+    whole = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (begin[1:] != begin[:-1] + count[:-1])]))
+    return begin[whole], np.add.reduceat(count, whole), hashed[whole]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -165,6 +181,11 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Even ranges of the hashes' low halves, numbered; the high halves of anchors are small."""
+    return (((hashes & U64((1 << 32) - 1)) * U64(buckets)) >> U64(32)).astype(np.int64)
+
+
 def _ids(rows: pa.RecordBatch) -> np.ndarray:
     return np.array([_NULL_ID if i is None else i for i in rows.column("doc_id").to_pylist()], np.int64)
 
@@ -187,22 +208,31 @@ def _offer(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length:
     """Step 1 of a slice: to each bucket its anchors' hashes and documents, an anchor that several
     documents of the slice have without one; and to these documents that they share it."""
     ids = _ids(rows)
-    _, place, hashes = anchors(data, offsets, length)
-    place = np.unique(place)
-    h, owner = hashes[place], np.searchsorted(offsets, place, "right") - 1
-    names, owner = np.unique(ids, return_inverse=True)[0], np.searchsorted(np.unique(ids), ids[owner])
+    begin, _, h = anchors(data, offsets, length)
+    owner = np.searchsorted(offsets, begin, "right") - 1
+    names, rank = np.unique(ids, return_inverse=True)
+    order = np.argsort(h)
+    h, owner = h[order], rank[owner[order]]
+    same = h[1:] == h[:-1]
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(h) else np.zeros(0, bool)
+    one, one_owner = h[~several], owner[~several]
+    # hashes that come more than once: by document, once each
+    h, owner = h[several], owner[several]
     order = np.lexsort((owner, h))
     h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)]
     h, owner = h[new], owner[new]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
     count = np.diff(np.append(first, len(h)))
     shared = np.repeat(count > 1, count)
     for doc, part in _by_bucket(owner[shared]):
         yield int(names[doc]) % buckets, int(names[doc]), _pack(h[shared][part])
-    h, owner = h[first], np.where(count > 1, -1, owner[first])
-    for bucket, part in _by_bucket((h % U64(buckets)).astype(np.int64)):
+    h, owner = np.concatenate([one, h[first]]), np.concatenate([one_owner, np.where(count > 1, -1, owner[first])])
+    order = np.argsort((h << U64(32)) | (h >> U64(32)))
+    h, owner = h[order], owner[order]
+    edges = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
+    for bucket in np.flatnonzero(np.diff(edges)).tolist():
+        part = slice(edges[bucket], edges[bucket + 1])
         # of the hash 48 bits and of the place in `names` 16; a slice with more documents sends them in full
         kind = np.int16 if len(names) < 2**15 else np.int64
         six = np.ascontiguousarray(h[part]).view(np.uint8).reshape(-1, 8)[:, 2:]
@@ -249,12 +279,8 @@ def _segments(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, lengt
     """Step 2 of a slice: to each bucket its segments. Of equal segments of the slice only the
     smallest document's moves; the others' windows are covered, and they are told."""
     ids = _ids(rows)
-    starts, place, hashes = anchors(data, offsets, length)
-    if not len(starts):
-        return
-    cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    begin, count = starts[cut], np.diff(np.append(cut, len(starts)))
-    anchor, owner = hashes[place[cut]], np.searchsorted(offsets, begin, "right") - 1
+    begin, count, anchor = anchors(data, offsets, length)
+    owner = np.searchsorted(offsets, begin, "right") - 1
     keep = np.zeros(len(begin), bool)
     edges = np.searchsorted(owner, np.arange(rows.num_rows + 1))
     short = (anchor >> U64(16)).astype(np.int64)  # reports have 48 bits
@@ -264,23 +290,68 @@ def _segments(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, lengt
         keep[a:b] = np.isin(short[a:b], shared[k].values.to_numpy())
     begin, count, anchor, owner = begin[keep], count[keep], anchor[keep], ids[owner[keep]]
     at = begin - np.repeat(offsets[:-1], np.diff(edges))[keep]
-    raw = data.tobytes()
+    raw, starts, ends, owners = data.tobytes(), begin.tolist(), (begin + count + length - 1).tolist(), owner.tolist()
     first: dict[bytes, int] = {}
-    covered: list[tuple[int, int, int]] = []
+    entry, covered, of, placed = [], [], [], []
+    for i in np.argsort(owner, kind="stable").tolist():
+        e = first.setdefault(raw[starts[i] : ends[i]], len(entry))
+        if e == len(entry):
+            entry.append(i)
+        elif owners[entry[e]] < owners[i]:
+            covered.append(i)
+            continue
+        of.append(e)  # a place of this entry, another one of the same document perhaps
+        placed.append(i)
+    entry, covered, of, placed = (np.array(x, np.int64) for x in (entry, covered, of, placed))
+    names, place = np.unique(owner[covered], return_inverse=True)
+    for doc, part in _by_bucket(place):
+        i = covered[part]
+        runs = merged(np.column_stack([at[i], count[i] + length - 1]))
+        yield int(names[doc]) % buckets, int(names[doc]), _pack(np.column_stack([runs[:, 0], runs[:, 1] - runs[:, 0]]))
+    order = np.argsort(of, kind="stable")
+    places, n_places = at[placed[order]], np.bincount(of, minlength=len(entry))
+    base = np.cumsum(n_places) - n_places
+    for bucket, part in _by_bucket(_bucket(anchor[entry], buckets)):
+        i, n = entry[part], n_places[part]
+        text = b"".join(raw[starts[j] : ends[j]] for j in i.tolist())
+        yield bucket, None, _pack(np.frombuffer(text, np.uint8), count[i], owner[i], (anchor[i] >> U64(32)).astype(np.uint32), n, places[_spread(base[part], n)])
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start and its size, one after another."""
+    begin = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - begin, sizes)
+
+
+def _entries(text: np.ndarray, sizes: np.ndarray, owner: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of a bucket that a suffix array is built over, and those that are covered at
+    once. Equal segments are one entry, the smallest document's; the other documents' are
+    covered. An anchor with one entry left has no other window to equal."""
+    raw, ends = text.tobytes(), np.cumsum(sizes)
+    starts = (ends - sizes).tolist()
+    ends, first, entry, gone = ends.tolist(), {}, [], []
+    owners = owner.tolist()
     for i in np.argsort(owner, kind="stable").tolist():
-        text = raw[begin[i] : begin[i] + count[i] + length - 1]
-        k = first.setdefault(text, i)
-        if owner[k] < owner[i]:
-            covered.append((owner[i], at[i], len(text)))
-        elif k != i:  # again in the same document: it stands for itself
-            first[text + b"#%d" % i] = i
-    for doc, a, size in covered:
-        yield int(doc) % buckets, int(doc), np.array([a, size], np.int64)
-    moved = np.array(sorted(first.values()), np.int64)
-    for bucket, part in _by_bucket((anchor[moved] % U64(buckets)).astype(np.int64)):
-        i = moved[part]
-        text = b"".join(raw[begin[j] : begin[j] + count[j] + length - 1] for j in i.tolist())
-        yield bucket, None, _pack(np.frombuffer(text, np.uint8), count[i], owner[i], at[i])
+        k = first.setdefault(raw[starts[i] : ends[i]], i)
+        (gone if owners[k] < owners[i] else entry).append(i)
+    entry, gone = np.array(entry, np.int64), np.array(gone, np.int64)
+    _, place, n = np.unique(anchor[entry], return_inverse=True, return_counts=True)
+    return entry[n[place] > 1], gone
+
+
+def _merged_by_owner(owner: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(owner, start, length) of the maximal runs of each owner's spans."""
+    if not len(owner):
+        return np.zeros((0, 3), np.int64)
+    names, rank = np.unique(owner, return_inverse=True)
+    shift = int((start + size).max()) + 2
+    begin = rank * shift + start
+    order = np.argsort(begin, kind="stable")
+    begin, ends = begin[order], np.maximum.accumulate((begin + size)[order])
+    opens = np.flatnonzero(np.concatenate([[True], begin[1:] > ends[:-1]]))
+    ends = ends[np.append(opens[1:], len(begin)) - 1]
+    begin, who = begin[opens], begin[opens] // shift
+    return np.column_stack([names[who], begin - who * shift, ends - begin])
 
 
 def _cover(length: int):
@@ -288,28 +359,38 @@ def _cover(length: int):
         """Step 2 of a bucket: the spans covered by windows with a longest previous factor of
         `length`."""
         values, docs = table.column("value").to_pylist(), table.column("doc_id").to_pylist()
-        out = [np.zeros((0, 3), np.int64)]
+        spans = [np.zeros((0, 3), np.int64)]
         for d, v in zip(docs, values):
             if d is not None:
                 told = _unpack(v, "i8")[0].reshape(-1, 2)
-                out.append(np.column_stack([np.full(len(told), d), told]))
-        found = [_unpack(v, "u1", "i8", "i8", "i8") for d, v in zip(docs, values) if d is None]
+                spans.append(np.column_stack([np.full(len(told), d), told]))
+        found = [_unpack(v, "u1", "i8", "i8", "u4", "i8", "i8") for d, v in zip(docs, values) if d is None]
         if found:
-            text, count, owner, at = (np.concatenate(x) for x in zip(*found))
+            text, count, owner, anchor, n_places, places = (np.concatenate(x) for x in zip(*found))
+            del found, values
             sizes = count + length - 1
-            base = np.cumsum(sizes) - sizes
-            within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            starts = np.repeat(base, count) + within
-            factor = longest_previous(text, np.repeat(owner, count), starts, np.repeat(base + sizes, count), length)
-            hit = factor >= length
-            who, where = np.repeat(owner, count)[hit], (np.repeat(at, count) + within)[hit]
-            if len(who):
-                order = np.lexsort((where, who))
-                who, where = who[order], where[order]
-                opens = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (where[1:] > where[:-1] + length)]))
-                last = np.append(opens[1:], len(who)) - 1
-                out.append(np.column_stack([who[opens], where[opens], where[last] + length - where[opens]]))
-        return pa.table(dict(zip(("doc_id", "start", "length"), map(pa.array, np.concatenate(out).T))))
+            base_at = np.cumsum(n_places) - n_places
+            entry, gone = _entries(text, sizes, owner, anchor)
+
+            def tell(which: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+                """A span within each of these segments, wherever these have a place."""
+                n = n_places[which]
+                spans.append(np.column_stack([np.repeat(owner[which], n), places[_spread(base_at[which], n)] + np.repeat(begin, n), np.repeat(size, n)]))
+
+            tell(gone, np.zeros(len(gone), np.int64), sizes[gone])
+            text = text[_spread((np.cumsum(sizes) - sizes)[entry], sizes[entry])]
+            n, size = count[entry], sizes[entry]
+            base = np.cumsum(size) - size
+            starts = _spread(base, n)
+            factor = longest_previous(text, np.repeat(owner[entry], n), starts, np.repeat(base + size, n), length)
+            hit = np.flatnonzero(factor >= length)
+            if len(hit):
+                which, within = np.repeat(np.arange(len(entry)), n)[hit], starts[hit] - np.repeat(base, n)[hit]
+                opens = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (within[1:] > within[:-1] + length)]))
+                last = np.append(opens[1:], len(which)) - 1
+                tell(entry[which[opens]], within[opens], within[last] + length - within[opens])
+        out = _merged_by_owner(*np.concatenate(spans).T)
+        return pa.table(dict(zip(("doc_id", "start", "length"), map(pa.array, out.T))))
 
     return run
 
@@ -343,7 +424,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id",
     docs = docs.select(id_, F.col(text_col).cast("string").alias("text"))
     with Workspace(spark, "suffix-dedup") as w:
         size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-        # a bucket gets about 4 MB of text's anchors; many enough to deal evenly
+        # a bucket gets about a slice of text's anchors; many enough to deal evenly
         buckets = max(8 * partitions(spark), -(-size // _SLICE))
 
         def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,17 +433,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id",
 
         def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, data, offsets in chunks(batches, "text", _SLICE):
-                spans: dict[int, list] = {}
-                moved = []
-                for bucket, doc, value in _segments(rows, data, offsets, min_bytes, buckets):
-                    if doc is None:
-                        moved.append((bucket, doc, value))
-                    else:
-                        spans.setdefault(doc, []).append(value)
-                for d, v in spans.items():
-                    runs = merged(np.stack(v))
-                    moved.append((d % buckets, d, _pack(np.column_stack([runs[:, 0], runs[:, 1] - runs[:, 0]]))))
-                yield _batch(moved, _MOVED)
+                yield _batch(list(_segments(rows, data, offsets, min_bytes, buckets)), _MOVED)
 
         told = w.stage(docs.mapInArrow(offer, _MOVED_SQL).groupBy("bucket").applyInArrow(_answer, _TOLD_SQL))
         told = told.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("hash").alias("shared"))
