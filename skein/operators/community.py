@@ -274,23 +274,31 @@ def leiden(view: View, max_levels: int = 10, gamma: float = 1.0, theta: float =
     return found.join(parts.withColumnRenamed("id", "nodeId"), "nodeId", "left").withColumn("communityId", F.coalesce("component", "nodeId")).drop("component")
 
 
-def k1_coloring(view: View, max_iterations: int = 10) -> DataFrame:
-    """(nodeId, color): nodes that precede all their uncoloured neighbours in a hashed order take
-    the smallest colour that no neighbour has. Rounds go on until all have one, so no relationship
-    joins equal colours; max_iterations is accepted, but needs no bound here."""
+def k1_coloring(view: View, max_iterations: int = 10, palette: int = 8) -> DataFrame:
+    """(nodeId, color). Every round an uncoloured node picks, by a hash, one of the smallest colours
+    that no neighbour has, of as many as it has uncoloured neighbours before it in a hashed
+    order, `palette` at most; of equal picks of neighbours the first in the order stands. Rounds go
+    on until all have a colour, about the logarithm of the nodes, so no relationship joins equal
+    colours; max_iterations is accepted, but needs no bound here."""
     links = cut(view.both_ways().neighbours())
     state = cut(view.ids.select("id", F.xxhash64("id").alias("h"), F.lit(None).cast("long").alias("color")))
-    while True:
-        open_ = state.filter("color IS NULL")
-        if is_empty(open_):
-            return state.select(F.col("id").alias("nodeId"), "color")
+    k = 0
+    while not is_empty(state.filter("color IS NULL")):
+        k += 1
         other = state.select(F.col("id").alias("dst"), F.col("h").alias("oh"), F.col("color").alias("oc"))
-        near = open_.select(F.col("id").alias("src"), "h").join(links, "src").join(other, "dst")
-        best = near.groupBy(F.col("src").alias("id")).agg(F.max(F.when(F.col("oc").isNull(), F.struct("oh", "dst"))).alias("rival"), F.array_sort(F.collect_set("oc")).alias("taken"))
-        joined = state.join(best, "id", "left")
-        first = F.expr("element_at(array_except(sequence(0L, cast(size(coalesce(taken, array())) AS bigint)), coalesce(taken, cast(array() AS array<bigint>))), 1)")
-        go = F.col("color").isNull() & (F.col("rival").isNull() | (F.struct(F.col("h").alias("oh"), F.col("id").alias("dst")) > F.col("rival")))
-        state = cut(joined.select("id", "h", F.when(go, first).otherwise(F.col("color")).alias("color")))
+        near = state.filter("color IS NULL").select(F.col("id").alias("src"), "h").join(links, "src").join(other, "dst")
+        before = F.col("oc").isNull() & (F.struct("oh", "dst") > F.struct(F.col("h").alias("oh"), F.col("src").alias("dst")))
+        seen = near.groupBy(F.col("src").alias("id")).agg(F.sum(before.cast("int")).alias("ahead"), F.collect_set("oc").alias("taken"))
+        taken = F.coalesce("taken", F.array().cast("array<bigint>"))
+        most = F.least(F.coalesce("ahead", F.lit(0)) + 1, F.lit(palette))
+        free = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(taken) + palette).cast("long")), taken)
+        picked = state.filter("color IS NULL").join(seen, "id", "left").select("id", "h", F.get(free, F.pmod(F.xxhash64("id", F.lit(k)), most).cast("int")).alias("pick"))
+        picked = cut(picked)
+        rival = picked.select(F.col("id").alias("dst"), F.col("h").alias("oh"), F.col("pick").alias("op"))
+        lost = picked.select(F.col("id").alias("src"), "h", "pick").join(links, "src").join(rival, "dst").filter("pick = op AND struct(oh, dst) > struct(h, src)").select(F.col("src").alias("id")).distinct()
+        won = picked.join(lost, "id", "left_anti").select("id", F.col("pick").alias("new"))
+        state = cut(state.join(won, "id", "left").select("id", "h", F.coalesce("color", "new").alias("color")))
+    return state.select(F.col("id").alias("nodeId"), "color")
 
 
 def k_core(view: View) -> DataFrame:
