@@ -133,9 +133,10 @@ def swapped(rels: DataFrame) -> DataFrame:
 
 def within(rels: DataFrame, nodes: DataFrame) -> DataFrame:
     """The relationships whose two ends are among the nodes."""
+    columns = rels.columns
     for end in ("sourceNodeId", "targetNodeId"):
         rels = rels.join(nodes.select(F.col("nodeId").alias(end)), end, "left_semi")
-    return rels
+    return rels.select(*columns)
 
 
 _FOLDS = {

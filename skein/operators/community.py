@@ -154,8 +154,9 @@ def _weighted_links(view: View) -> DataFrame:
 
 def _local_moves(links: DataFrame, start: DataFrame, max_iterations: int, tolerance: float, gamma: float = 1.0) -> tuple[DataFrame, float]:
     """(id, c) after rounds of moves to the neighbour community with the largest gain, and the
-    modularity. In a round the nodes of one of two hash classes move, which keeps neighbours
-    from swapping; ties go to the smaller community."""
+    modularity. First the nodes of one, then of the other of two hash classes move, which
+    keeps neighbours from swapping; classes are dealt anew each round, and the best round is kept.
+    Ties go to the smaller community."""
     total = links.agg(F.sum("w")).first()[0] or 1.0
     degree = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
     state = cut(start.join(degree, "id", "left").select("id", "c", F.coalesce("k", F.lit(0.0)).alias("k")))
@@ -166,7 +167,8 @@ def _local_moves(links: DataFrame, start: DataFrame, max_iterations: int, tolera
         return inside / total - gamma * spread / (total * total)
 
     best, best_q = state, quality(state)
-    for _ in range(max_iterations):
+    idle = 0
+    for r in range(max_iterations):
         for side in (0, 1):
             volume = state.groupBy("c").agg(F.sum("k").alias("v"))
             near = links.filter("src <> dst").join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("e"))
@@ -178,14 +180,14 @@ def _local_moves(links: DataFrame, start: DataFrame, max_iterations: int, tolera
             alone = F.lit(0.0)  # staying where no neighbour is
             joined = state.join(ranked, "id", "left").join(volume, "c")
             stay = F.coalesce("stay", alone - gamma * F.col("k") * (F.col("v") - F.col("k")) / total)
-            go = (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(2)) == side) & (F.col("b.g") > stay + 1e-12)
+            go = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == side) & (F.col("b.g") > stay + 1e-12)
             state = cut(joined.select("id", F.when(go, -F.col("b.n")).otherwise(F.col("c")).alias("c"), "k"))
         q = quality(state)
-        if q <= best_q + tolerance:
-            if q > best_q:
-                best, best_q = state, q
+        idle = 0 if q > best_q + tolerance else idle + 1
+        if q > best_q:
+            best, best_q = state, q
+        if idle == 2:
             break
-        best, best_q = state, q
     return best.select("id", "c"), best_q
 
 

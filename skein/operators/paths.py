@@ -147,7 +147,7 @@ def bfs(view: View, source_node: int, target_nodes=None, max_depth: int | None =
     if target_nodes:
         hit = found.join(_frame(view, target_nodes, "node"), "node", "left_semi").agg(F.min(F.struct("depth", "node")).alias("m")).first()["m"]
         if hit is not None:
-            found = found.filter(F.struct("depth", "node") <= F.struct(F.lit(hit["depth"]), F.lit(hit["node"])))
+            found = found.filter((F.col("depth") < hit["depth"]) | ((F.col("depth") == hit["depth"]) & (F.col("node") <= hit["node"])))
     # positions are counted within a depth; the depths' sizes, as many as there are rounds, are added
     sizes = sorted((r["depth"], r["n"]) for r in found.groupBy("depth").agg(F.count("*").alias("n")).collect())
     before, total = {}, 0
