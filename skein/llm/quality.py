@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm._text import chunks, word_hashes, words
-from skein.llm.language_id import fold  # noqa: F401
 
 FEATURES = ("bytes", "words", "word_bytes", "upper", "digits", "marks", "symbols", "bars", "shouts", "other", "breaks", "same_as_before", "different")
 
@@ -79,24 +78,40 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", shrink: float = 0.1, temper: float = 3.0) -> QualityModel:
-    """Fits on every row with a label 0 or 1, from the classes' counts, sums and products alone,
-    which tasks add up; the driver reads one fixed-size matrix. A class covariance is
-    shrunk by `shrink` towards the pooled diagonal. Log-density differences are divided by
-    `temper`, as statistics of one text are not independent. With a class missing every score is
-    the smoothed share of class 1."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, x) of every row and whole text: its statistics as float64 bytes. What follows
+    moves these alone, no text. Null texts count as empty. Repeated rows give repeated rows; no
+    other column is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in chunks(batches, text_col):
+            yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array([x.tobytes() for x in features(data, offsets)], pa.binary())], ["doc_id", "x"])
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "doc_id long, x binary")
+
+
+def _matrix(rows: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("x").to_pylist())).reshape(rows.num_rows, len(FEATURES))
+
+
+def fit(labelled: DataFrame, label_col: str = "quality", shrink: float = 0.1, temper: float = 3.0) -> QualityModel:
+    """Fits on every row of statistics x with a label 0 or 1, from the classes' counts, sums and
+    products alone, which tasks add up; the driver reads one fixed-size matrix. A class
+    covariance is shrunk by `shrink` towards the pooled diagonal. Log-density differences are
+    divided by `temper`, as statistics of one text are not independent. With a class missing
+    every score is the smoothed share of class 1."""
     d = len(FEATURES)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, d + 1, d + 1))
-        for rows, data, offsets in chunks(batches, text_col):
-            x = np.hstack([np.ones((rows.num_rows, 1)), features(data, offsets)])
+        for rows in batches:
+            x = np.hstack([np.ones((rows.num_rows, 1)), _matrix(rows)])
             y = rows.column("label").to_numpy(zero_copy_only=False)
             for k in (0, 1):
                 total[k] += x[y == k].T @ x[y == k]
         yield pa.RecordBatch.from_pydict({"place": pa.array(range(total.size), pa.int32()), "x": total.ravel()})
 
-    rows = labelled.select(F.col(text_col).cast("string").alias(text_col), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)")
+    rows = labelled.select("x", F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)")
     found = rows.mapInArrow(moments, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).toPandas()
     total = np.zeros(2 * (d + 1) ** 2)
     total[found["place"]] = found["x"]
@@ -113,14 +128,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     return QualityModel(prior, means, np.stack([np.linalg.inv(f) for f in lower]), np.array([2 * np.log(np.diag(f)).sum() for f in lower]), temper)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) of every row and whole text: the posterior of label 1, and
-    whether it is threshold or more. Null texts count as empty, and empty texts have their
-    statistics too. Repeated rows give repeated rows; no other column is read."""
+def score_quality(stats: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
+    """(doc_id, score, predicted) of rows of statistics(): the posterior of label 1, and whether it
+    is threshold or more. Empty texts have their statistics and so their score too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, text_col):
-            score = model.score(features(data, offsets))
-            yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+        for rows in batches:
+            score = model.score(_matrix(rows))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "doc_id long, score double, predicted int")
+    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")

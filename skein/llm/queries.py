@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._work import table
+from skein.llm._work import Workspace, table
 from skein.llm.chat_format import rotate_perspectives
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.language_id import fold, identify, train
@@ -15,7 +15,7 @@ from skein.llm.line_dedup import line_dedup
 from skein.llm.mixing import mix_sources
 from skein.llm.near_dedup import near_dedup
 from skein.llm.packing import pack_documents
-from skein.llm.quality import fit, score_quality
+from skein.llm.quality import fit, score_quality, statistics
 from skein.llm.suffix_dedup import remove_repeats
 from skein.llm.topk import top_k
 
@@ -60,8 +60,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold("doc_id", 4) == 2
-    known = docs.select("doc_id", "text").join(labels.select("doc_id", "quality").filter(~held_out), "doc_id")
-    return score_quality(docs, fit(known)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    with Workspace(spark, "quality") as w:
+        stats = w.keep(statistics(docs))
+    known = stats.join(labels.select("doc_id", "quality").filter(~held_out), "doc_id")
+    return score_quality(stats, fit(known)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

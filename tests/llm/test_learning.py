@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.llm import queries
 from skein.llm._work import table
 from skein.llm.language_id import filter_languages, fold, identify, train
-from skein.llm.quality import FEATURES, fit, score_quality
+from skein.llm.quality import FEATURES, fit, score_quality, statistics
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -52,12 +52,13 @@ def test_quality_held_out(spark):
 
 
 def test_quality_odd(spark, odd, empty):
-    rows = odd.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    stats = statistics(odd)
+    rows = stats.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
     model = fit(rows)
-    out = score_quality(odd, model).collect()
+    out = score_quality(stats, model).collect()
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out)
     assert model.means.shape == (2, len(FEATURES))
-    assert score_quality(empty, model).count() == 0
+    assert score_quality(statistics(empty), model).count() == 0
     one_class = fit(rows.withColumn("quality", F.lit(1)))
-    assert len({r["score"] for r in score_quality(odd, one_class).collect()}) == 1
-    assert fit(empty.withColumn("quality", F.lit(1))).prior == 0.5
+    assert len({r["score"] for r in score_quality(stats, one_class).collect()}) == 1
+    assert fit(statistics(empty).withColumn("quality", F.lit(1))).prior == 0.5
