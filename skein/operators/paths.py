@@ -321,8 +321,6 @@ def dag_longest_path(view: View) -> DataFrame:
 def spanning_forest(view: View, maximum: bool = False) -> DataFrame:
     """(src, dst, weight) of a lightest (heaviest) spanning forest: rounds in which each part takes
     its best edge to another part; edges are ordered by (weight, smaller end, larger end)."""
-    from skein.operators.community import contracted_labels
-
     sign = -1.0 if maximum else 1.0
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
     edges = cut(view.edges.filter("src <> dst").groupBy(a.alias("a"), b.alias("b")).agg(F.min(F.col("weight") * sign).alias("w")))
@@ -333,11 +331,21 @@ def spanning_forest(view: View, maximum: bool = False) -> DataFrame:
         open_ = cut(open_)
         if is_empty(open_):
             break
-        both = open_.select(F.col("pa").alias("part"), "w", "a", "b").unionByName(open_.select(F.col("pb").alias("part"), "w", "a", "b"))
-        new = cut(both.groupBy("part").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct())
+        ends = [open_.select(F.col(x).alias("part"), F.col(y).alias("other"), "w", "a", "b") for x, y in (("pa", "pb"), ("pb", "pa"))]
+        best = cut(ends[0].unionByName(ends[1]).groupBy("part").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("part", "e.*"))
+        new = best.select("w", "a", "b").distinct()
         tree = new if tree is None else cut(tree.unionByName(new))
-        merged = contracted_labels(open_.join(new.select("a", "b"), ["a", "b"], "left_semi").select("pa", "pb").toDF("src", "dst"))
-        label = cut(label.join(merged.select(F.col("id").alias("part"), F.col("component").alias("to")), "part", "left").select("id", F.coalesce("to", "part").alias("part")))
+        # parts point along their edges; of two that point at each other the smaller is a root
+        back = best.select(F.col("part").alias("other"), F.col("other").alias("back"))
+        root = (F.col("back") == F.col("part")) & (F.col("part") < F.col("other"))
+        to = cut(best.join(back, "other").select("part", F.when(root, F.col("part")).otherwise(F.col("other")).alias("to")))
+        while True:
+            up = to.select(F.col("part").alias("to"), F.col("to").alias("up"))
+            jumped = cut(to.join(up, "to").select("part", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
+            to = jumped.drop("moved")
+            if is_empty(jumped.filter("moved")):
+                break
+        label = cut(label.join(to, "part", "left").select("id", F.coalesce("to", "part").alias("part")))
         edges = open_.select("a", "b", "w")
     if tree is None:
         return view.edges.limit(0).select("src", "dst", "weight")
