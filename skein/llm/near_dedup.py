@@ -8,10 +8,13 @@ full shingle sets. Texts with equal sets are one class from the start, with one
 A retained hash is rare if at most `rare` classes retain it. Two linked classes share most of
 their hashes. If enough of one's hashes are rare, they share a rare one all but certainly, and
 lists of rare hashes, being short, are paired off whole. Classes that have few rare hashes
-are those of large groups of near copies, or little more than a very common passage. For
-these, each list of a common hash links its members to one of them, a different one for each
-list; this costs one pair a member and joins a group of near copies. What is still apart
-after that is compared with all members of its least common lists.
+are those of large groups of near copies, or little more than a very common passage. Of
+these, all shingles are counted: one that a single class has is in no intersection, so
+classes with too many of their own are linked with no other of them. For the rest, each list of
+a common hash links its members to the one with the fewest shingles of its own, which is the
+middle of a group of near copies; this costs one pair a member and joins a group. What is
+still apart after that is compared with the members of its least common lists, as far as
+sizes and own shingles allow a link.
 """
 
 from __future__ import annotations
@@ -70,7 +73,7 @@ def _estimated(pairs: DataFrame, sketched: DataFrame, k: int, least: float) -> D
 
     left = sketched.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = sketched.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, _PAIR)
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, _PAIR)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -89,7 +92,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) ->
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _sized(percent: int, a: str = "na", b: str = "nb"):
@@ -97,13 +100,34 @@ def _sized(percent: int, a: str = "na", b: str = "nb"):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def near_components(w: Workspace, docs: DataFrame, percent: int = 85, words: int = 5, k: int = 64, rare: int = 32, slack: float = 0.22, least_lists: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _own(percent: int, a: str, b: str, own_a: str, own_b: str):
+    """Not so for linked sets: an intersection is at least percent / (100 + percent) of both sizes'
+    sum, and lacks what each has for itself, which the union has on top."""
+    both = (F.col(a) + F.col(b)) * percent
+    enough = F.least(F.col(a) - F.col(own_a), F.col(b) - F.col(own_b)) * (100 + percent) >= both
+    return enough & ((F.col(own_a) + F.col(own_b)) * (100 + percent) <= (F.col(a) + F.col(b)) * (100 - percent))
+
+
+def _shingle_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(value, rep) of every shingle of every text."""
+        for rows, data, offsets in chunks(batches, "text"):
+            found = list(shingles(data, offsets, words))
+            value = np.concatenate(found) if found else np.zeros(0, U64)
+            rep = np.repeat(rows.column("rep").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(_as_long(value)), pa.array(rep)], ["value", "rep"])
+
+    return run
+
+
+def near_components(w: Workspace, docs: DataFrame, percent: int = 85, words: int = 5, k: int = 64, rare: int = 24, slack: float = 0.22, least_lists: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, component) for every row with a doc_id; see near_dedup()."""
+    # merge hints: ids of candidates grow with the corpus, so they are broadcast at no size
     named = docs.filter(F.col(id_col).isNotNull())
     rows = w.stage(sketches(named, k, words, id_col, text_col))
     classes = w.stage(rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     # of rows with a representative's id and set one is enough
-    sketched = w.stage(rows.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]))
+    sketched = w.stage(rows.join(classes.select("set_key", F.col("rep").alias("doc_id")).hint("merge"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,25 +141,37 @@ def near_components(w: Workspace, docs: DataFrame, percent: int = 85, words: int
     posts = w.stage(posts.join(lists, "value"))  # hashes that one class has pair nothing
     least = percent / 100 - slack
 
-    # short lists, paired off whole: of a pair's many shared lists, the one with its smallest hash counts
+    # short lists, paired off whole: a pair's overlap is what both retain of rare hashes, and of
+    # common ones at most what the one with fewer retains
+    n_common = w.stage(posts.filter(F.col("df") > rare).groupBy("rep").agg(F.count("*").alias("common"), F.max("n").alias("n")))
     short = posts.filter(F.col("df") <= rare).drop("df")
     left, right = short.toDF("value", "a", "na"), short.toDF("value", "b", "nb")
-    pairs = left.join(right, "value").filter((F.col("a") < F.col("b")) & _sized(percent)).select("a", "b").distinct()
-
-    # classes with few rare hashes: by what they retain, at most 40 % is rare
-    n_common = posts.filter(F.col("df") > rare).groupBy("rep").agg(F.count("*").alias("common"), F.max("n").alias("n"))
-    mostly = n_common.filter(F.col("common") * 10 >= F.least(F.col("n"), F.lit(k)) * 6).select("rep")
-    common = w.stage(posts.filter(F.col("df") > rare).join(mostly, "rep", "left_semi").select("value", "rep", "n"))
-    # one member of each list, by an order of its own, is paired with all others
-    hub = common.groupBy("value").agg(F.min(F.struct(F.xxhash64("value", "rep"), F.col("rep"), F.col("n"))).alias("h"), F.count("*").alias("size"))
-    hub = w.stage(hub.select("value", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), "size"))
-    starred = attach(common, hub, "value", "size", common.count()).filter("rep <> hub").filter(_sized(percent, "n", "hub_n"))
-    stars = starred.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-
-    candidates = w.stage(_estimated(pairs.unionByName(stars).distinct(), sketched, k, least))
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(common.select("rep")).distinct()
+    pairs = left.join(right, "value").filter((F.col("a") < F.col("b")) & _sized(percent)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    for end in "ab":
+        pairs = pairs.join(n_common.select(F.col("rep").alias(end), F.col("common").alias(f"c{end}")), end, "left")
+    overlap = F.col("shared") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
+    pairs = pairs.filter(overlap >= F.floor(F.least("na", "nb", F.lit(k)) * (percent / 100 - 0.26))).select("a", "b")
+    candidates = w.stage(_estimated(pairs, sketched, k, least))
+
+    # classes with few rare hashes: of what they retain, at most 40 % is rare
+    mostly = w.stage(n_common.filter(F.col("common") * 10 >= F.least(F.col("n"), F.lit(k)) * 6).select("rep"))
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(mostly).distinct()
     texts = named.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    texts = w.stage(texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]))
+    texts = w.stage(texts.join(wanted.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]))
+    # a shingle that only one of them has is in no intersection: with too many of these a class
+    # can't be linked with another of them, and is left out
+    own = texts.join(mostly, "rep", "left_semi").mapInArrow(_shingle_rows(words), "value long, rep long").groupBy("value").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
+    own = own.filter("df = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    common = posts.filter(F.col("df") > rare).join(mostly, "rep", "left_semi").join(own, "rep", "left").select("value", "rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    common = w.stage(common.filter(F.col("own") * 100 <= F.col("n") * (100 - percent)))
+    # one member of each list, that with the fewest shingles of its own, is paired with all others;
+    # ties go the same way in all lists, so that lists of a group agree on it
+    hub = common.groupBy("value").agg(F.min(F.struct("own", F.xxhash64("rep"), F.col("rep"), F.col("n"))).alias("h"), F.count("*").alias("size"))
+    hub = w.stage(hub.select("value", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.own").alias("hub_own"), "size"))
+    starred = attach(common, hub, "value", "size", common.count()).filter("rep <> hub").filter(_sized(percent, "n", "hub_n") & _own(percent, "n", "hub_n", "own", "hub_own"))
+    stars = starred.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    stars = _estimated(stars.join(candidates.select("a", "b"), ["a", "b"], "left_anti"), sketched, k, least)
+    candidates = w.stage(candidates.unionByName(stars))
 
     # first each class and its likeliest smaller partner: that joins most groups
     best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("estimate"), "a"))
@@ -149,15 +185,25 @@ def near_components(w: Workspace, docs: DataFrame, percent: int = 85, words: int
 
     # classes with few rare hashes that are still apart from others of their lists
     if common.limit(1).count():
-        part = w.stage(common.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("c")))
+        part = w.stage(common.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("value", "rep", "n", "own", F.coalesce("component", "rep").alias("c")))
         by_part = w.stage(part.groupBy("value", "c").agg(F.count("*").alias("members")))
         largest = by_part.groupBy("value").agg(F.max(F.struct("members", "c")).alias("m"), F.count("*").alias("parts"), F.sum("members").alias("df")).filter("parts > 1")
         largest = w.stage(largest.select("value", F.col("m.c").alias("largest"), "df"))
         alone = part.join(largest, "value").filter("c <> largest")
         few = F.row_number().over(W.partitionBy("rep").orderBy("df", "value"))
-        alone = w.stage(alone.withColumn("k", few).filter(F.col("k") <= least_lists).select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")))
-        met = alone.join(part.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "value")
-        met = met.filter((F.col("ca") != F.col("cb")) & _sized(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        alone = alone.withColumn("k", few).filter(F.col("k") <= least_lists).select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("c").alias("ca"))
+        alone = w.stage(alone)
+        # a pair counts in the first of the lists they share, and once if both are alone
+        alone = alone.join(alone.groupBy("a").agg(F.collect_list("value").alias("mine")), "a")
+        held = w.stage(common.groupBy("rep").agg(F.collect_list("value").alias("held")))
+        alone = alone.join(held.select(F.col("rep").alias("a"), F.col("held").alias("all_mine")), "a")
+        theirs = held.join(alone.select(F.col("a").alias("rep")).distinct().withColumn("single", F.lit(True)), "rep", "left")
+        met = alone.join(part.join(theirs, "rep").select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("c").alias("cb"), "held", "single"), "value")
+        met = met.filter((F.array_min(F.array_intersect("mine", "held")) == F.col("value")) & (F.col("single").isNull() | (F.col("a") < F.col("b"))))
+        # of what both retain, at most a's rare hashes are not in its common ones
+        rarely = F.least("na", F.lit(k)) - F.size("all_mine")
+        met = met.filter(F.size(F.array_intersect("all_mine", "held")) + rarely >= F.floor(F.least("na", "nb", F.lit(k)) * (percent / 100 - 0.26)))
+        met = met.filter((F.col("ca") != F.col("cb")) & _sized(percent) & _own(percent, "na", "nb", "oa", "ob")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         met = met.join(candidates.select("a", "b"), ["a", "b"], "left_anti")
         left_over = _estimated(met, sketched, k, least)
         edges = w.stage(edges.unionByName(_confirmed(w.stage(left_over), texts, percent, words)))
