@@ -193,13 +193,12 @@ def near_components(w: Workspace, docs: DataFrame, percent: int = 85, words: int
         few = F.row_number().over(W.partitionBy("rep").orderBy("df", "value"))
         alone = alone.withColumn("k", few).filter(F.col("k") <= least_lists).select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("c").alias("ca"))
         alone = w.stage(alone)
-        # a pair counts in the first of the lists they share, and once if both are alone
+        # a pair counts in the first of its lists that the other one shares
         alone = alone.join(alone.groupBy("a").agg(F.collect_list("value").alias("mine")), "a")
         held = w.stage(common.groupBy("rep").agg(F.collect_list("value").alias("held")))
         alone = alone.join(held.select(F.col("rep").alias("a"), F.col("held").alias("all_mine")), "a")
-        theirs = held.join(alone.select(F.col("a").alias("rep")).distinct().withColumn("single", F.lit(True)), "rep", "left")
-        met = alone.join(part.join(theirs, "rep").select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("c").alias("cb"), "held", "single"), "value")
-        met = met.filter((F.array_min(F.array_intersect("mine", "held")) == F.col("value")) & (F.col("single").isNull() | (F.col("a") < F.col("b"))))
+        met = alone.join(part.join(held, "rep").select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("c").alias("cb"), "held"), "value")
+        met = met.filter(F.array_min(F.array_intersect("mine", "held")) == F.col("value"))
         # of what both retain, at most a's rare hashes are not in its common ones
         rarely = F.least("na", F.lit(k)) - F.size("all_mine")
         met = met.filter(F.size(F.array_intersect("all_mine", "held")) + rarely >= F.floor(F.least("na", "nb", F.lit(k)) * (percent / 100 - 0.26)))

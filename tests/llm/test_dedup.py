@@ -164,6 +164,30 @@ def test_near_large_group(spark):
     assert got == group and 3 < len(set(group.values())) < 160
 
 
+def near_copies(name, words):
+    """Word lists of 32 near copies, five words of which come in two versions, and the words all have."""
+    base = [f"{name}{i}" for i in range(words)]
+    return [[f"{w}v" if i in range(0, 30, 6) and k >> i // 6 & 1 else w for i, w in enumerate(base)] for k in range(32)], base
+
+
+def assert_near(spark, rows, percent):
+    _, group = near_groups(rows, percent)
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == group
+
+
+def test_near_partner_outside_another_list(spark):
+    """Only b links a to its group, and b also holds a passage of another group."""
+    texts = []
+    for f in range(8):
+        group, base = near_copies(f"g{f}_", 400)
+        others, _ = near_copies(f"h{f}_", 60)
+        passage = [f"p{f}_{i}" for i in range(16)]
+        b, a = base[24:] + passage, [f"a{f}_{i}" for i in range(36)] + base[30:]
+        texts += [b, *group, *(x + passage for x in others), others[0][:50] + passage, a]
+    assert_near(spark, [(i, " ".join(x)) for i, x in enumerate(texts)], 85)
+
+
 def test_empty(empty):
     for f in (exact_dedup, near_dedup, line_dedup, remove_repeats, drop_near_duplicates):
         assert f(empty).count() == 0
