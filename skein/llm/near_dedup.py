@@ -13,8 +13,9 @@ these, all shingles are counted: one that a single class has is in no intersecti
 classes with too many of their own are linked with no other of them. For the rest, each list of
 a common hash links its members to the one with the fewest shingles of its own, which is the
 middle of a group of near copies; this costs one pair a member and joins a group. What is
-still apart after that is compared with the members of its least common lists, as far as
-sizes and own shingles allow a link.
+still apart after that is compared with the members of so many of its lists, the least common
+first, that no pair with the overlap of a link escapes, as far as sizes and own shingles
+allow one.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def _shingle_rows(words: int):
     return run
 
 
-def near_components(w: Workspace, docs: DataFrame, percent: int = 85, words: int = 5, k: int = 64, rare: int = 24, slack: float = 0.22, least_lists: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(w: Workspace, docs: DataFrame, percent: int = 85, words: int = 5, k: int = 64, rare: int = 24, slack: float = 0.22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, component) for every row with a doc_id; see near_dedup()."""
     # merge hints: ids of candidates grow with the corpus, so they are broadcast at no size
     named = docs.filter(F.col(id_col).isNotNull())
@@ -183,26 +184,26 @@ def near_components(w: Workspace, docs: DataFrame, percent: int = 85, words: int
     edges = w.stage(edges.unionByName(_confirmed(apart, texts, percent, words)))
     found = components(w, edges)
 
-    # classes with few rare hashes that are still apart from others of their lists
+    # classes with few rare hashes that are still apart from others of their lists. Pairs that share a
+    # rare hash are decided; of other linked pairs both retain at least `need` common ones. In one order
+    # of all values, the first that they share is then among all but the last need - 1 of each.
     if common.limit(1).count():
-        part = w.stage(common.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("value", "rep", "n", "own", F.coalesce("component", "rep").alias("c")))
+        share = F.lit(percent / 100 - 0.26)
+        need = F.greatest(F.floor(F.least(F.ceil(F.col("n") * percent / 100), F.lit(k)) * share), F.lit(1)).cast("int")
+        ranked = attach(common, hub.select("value", "size"), "value", "size", common.count())
+        held = F.transform(F.array_sort(F.collect_list(F.struct("size", "value"))), lambda x: x["value"])
+        sets = ranked.groupBy("rep", "n", "own").agg(held.alias("held")).filter(F.size("held") >= need)
+        sets = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", "own", "held", F.coalesce("component", "rep").alias("c"))
+        part = w.stage(sets.select(F.explode(F.slice("held", F.lit(1), F.size("held") - need + 1)).alias("value"), "*"))
         by_part = w.stage(part.groupBy("value", "c").agg(F.count("*").alias("members")))
-        largest = by_part.groupBy("value").agg(F.max(F.struct("members", "c")).alias("m"), F.count("*").alias("parts"), F.sum("members").alias("df")).filter("parts > 1")
-        largest = w.stage(largest.select("value", F.col("m.c").alias("largest"), "df"))
-        alone = part.join(largest, "value").filter("c <> largest")
-        few = F.row_number().over(W.partitionBy("rep").orderBy("df", "value"))
-        alone = alone.withColumn("k", few).filter(F.col("k") <= least_lists).select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("c").alias("ca"))
-        alone = w.stage(alone)
-        # a pair counts in the first of its lists that the other one shares
-        alone = alone.join(alone.groupBy("a").agg(F.collect_list("value").alias("mine")), "a")
-        held = w.stage(common.groupBy("rep").agg(F.collect_list("value").alias("held")))
-        alone = alone.join(held.select(F.col("rep").alias("a"), F.col("held").alias("all_mine")), "a")
-        met = alone.join(part.join(held, "rep").select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("c").alias("cb"), "held"), "value")
-        met = met.filter(F.array_min(F.array_intersect("mine", "held")) == F.col("value"))
-        # of what both retain, at most a's rare hashes are not in its common ones
-        rarely = F.least("na", F.lit(k)) - F.size("all_mine")
-        met = met.filter(F.size(F.array_intersect("all_mine", "held")) + rarely >= F.floor(F.least("na", "nb", F.lit(k)) * (percent / 100 - 0.26)))
-        met = met.filter((F.col("ca") != F.col("cb")) & _sized(percent) & _own(percent, "na", "nb", "oa", "ob")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        largest = by_part.groupBy("value").agg(F.max(F.struct("members", "c")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+        largest = w.stage(largest.select("value", F.col("m.c").alias("largest")))
+        alone = w.stage(part.join(largest, "value").filter("c <> largest").select("value", "largest", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("c").alias("ca"), F.col("held").alias("mine")))
+        met = alone.join(part.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("c").alias("cb"), "held"), "value")
+        # once if both are alone, and in the first of the lists they share: an intersection keeps its first array's order
+        met = met.filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))) & _sized(percent) & _own(percent, "na", "nb", "oa", "ob"))
+        both = F.array_intersect("mine", "held")
+        met = met.filter((F.get(both, F.lit(0)) == F.col("value")) & (F.size(both) >= F.floor(F.least("na", "nb", F.lit(k)) * share))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         met = met.join(candidates.select("a", "b"), ["a", "b"], "left_anti")
         left_over = _estimated(met, sketched, k, least)
         edges = w.stage(edges.unionByName(_confirmed(w.stage(left_over), texts, percent, words)))

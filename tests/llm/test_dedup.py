@@ -188,6 +188,18 @@ def test_near_partner_outside_another_list(spark):
     assert_near(spark, [(i, " ".join(x)) for i, x in enumerate(texts)], 85)
 
 
+def test_near_partner_in_common_lists(spark):
+    """a holds a passage of another group, whose lists are shorter than those a shares with b."""
+    texts = []
+    for f in range(6):
+        group, base = near_copies(f"g{f}_", 364)
+        others, _ = near_copies(f"h{f}_", 60)
+        passage = [f"p{f}_{i}" for i in range(80)]
+        a, b = base[30:] + passage, base[30:] + [f"b{f}_0", f"b{f}_1"]
+        texts += [a, b, *group, *(x + passage for x in others[:30])]
+    assert_near(spark, [(i, " ".join(x)) for i, x in enumerate(texts)], 80)
+
+
 def test_empty(empty):
     for f in (exact_dedup, near_dedup, line_dedup, remove_repeats, drop_near_duplicates):
         assert f(empty).count() == 0
