@@ -106,13 +106,13 @@ def _scored(pairs: DataFrame, nodes: DataFrame, props: dict[str, str], types: di
 
 def knn(
     view: View, node_properties, top_k: int = 10, similarity_cutoff: float = 0.0, sample_rate: float = 0.5, delta_threshold: float = 0.001, max_iterations: int = 100, random_joins: int = 10,
-    random_seed: int = 0, initial_sampler: str = "UNIFORM", source_node_filter=None, target_node_filter=None, seed_target_nodes: bool = False, exact_up_to: int = 20_000,
+    random_seed: int = 0, initial_sampler: str = "UNIFORM", source_node_filter=None, target_node_filter=None, seed_target_nodes: bool = False, exact_up_to: int | None = None,
 ) -> DataFrame:
     """(node1, node2, similarity): each node's most similar others by its properties.
 
-    Up to exact_up_to nodes every node is compared with all others, in blocks: source blocks meet
-    target blocks. Beyond, neighbour lists start random and are improved: new and
-    sampled old and reverse neighbours of a node are compared with each other, with
+    Every node is compared with all others, in blocks: source blocks meet target blocks. Only if
+    exact_up_to is given and there are more nodes, the result is approximate: neighbour lists
+    start random and are improved, new and sampled old and reverse neighbours of a node are compared with each other, with
     random_joins random nodes more, until no more than a share delta_threshold changes."""
     props, types = _properties(node_properties), dict(view.nodes.dtypes)
     missing = [p for p in props if p not in types]
@@ -121,7 +121,7 @@ def knn(
     nodes = cut(view.nodes.select("id", *(["labels"] if "labels" in types else []), *props))
     n = nodes.count()
     sources, targets = _among(nodes, source_node_filter, "node1"), _among(nodes, target_node_filter, "node2")
-    if n <= exact_up_to:
+    if exact_up_to is None or n <= exact_up_to:
         blocks = max(1, -(-n // 1024))
         block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -138,10 +138,10 @@ def knn(
 
 
 def _descent(nodes, props, types, k, rate, delta, rounds, random_joins, seed, sources, targets, n) -> DataFrame:
-    # positions are found by a hash of the id: a random pick is the next id in a hash bucket
-    buckets = max(1, n // 4)
-    keyed = cut(nodes.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)).alias("bk")))
-    pool = keyed if targets is None else keyed.join(targets.withColumnRenamed("node2", "id"), "id", "left_semi")
+    # random picks are the ids of a hash bucket; only targets are dealt into buckets, about four to each
+    pool = nodes.select("id") if targets is None else cut(nodes.select("id").join(targets.withColumnRenamed("node2", "id"), "id", "left_semi"))
+    buckets = max(1, (n if targets is None else pool.count()) // 4)
+    pool = cut(pool.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)).alias("bk")))
 
     def random_pairs(count: int, r: int) -> DataFrame:
         draw = F.pmod(F.xxhash64("id", "t", F.lit(seed + r)), F.lit(buckets))

@@ -249,6 +249,18 @@ def test_knn(spark):
     assert len(exact) == 600 and len(exact & rough) / 600 > 0.9
 
 
+def test_knn_exact_at_any_size_and_rare_targets(spark):
+    rng = random.Random(2)
+    points = [[rng.gauss(0, 1)] for _ in range(20_100)]
+    v = view_of(spark, [(0, 1)], 20_100, x=points)
+    got = {(r[0], r[1]) for r in similarity.knn(v, {"x": "EUCLIDEAN"}, 3, source_node_filter=[5, 6]).collect()}
+    near = lambda i: sorted((j for j in range(20_100) if j != i), key=lambda j: abs(points[i][0] - points[j][0]))[:3]
+    assert got == {(i, j) for i in (5, 6) for j in near(i)}
+    few = view_of(spark, [(i, (i + 1) % 400) for i in range(400)], x=points[:400])
+    rough = similarity.knn(few, {"x": "EUCLIDEAN"}, 3, exact_up_to=0, max_iterations=2, target_node_filter=[7, 8, 9, 10])
+    assert rough.count() == 1200 and {r[0] for r in rough.select("node2").distinct().collect()} <= {7, 8, 9, 10}
+
+
 def test_embeddings(spark):
     v = view_of(spark, [(i, (i + 1) % 12) for i in range(12)], undirected=True, f=[float(i) for i in range(12)])
     a = values(embeddings.fast_rp(v, 8, feature_properties=["f"], property_ratio=0.5, normalization_strength=-0.5))
