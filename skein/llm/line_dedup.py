@@ -15,8 +15,9 @@ def repeated_lines(w: Workspace, docs: DataFrame, id_col: str = "doc_id", text_c
     smallest (doc_id, place), and all others are later ones."""
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
     taken = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).filter(F.col("doc_id").isNotNull() & (F.size("lines") >= size))
-    key = "xxhash64(" + ", ".join(f"lines[i + {k}]" for k in range(size)) + "{})"
-    made = F.expr(f"transform(sequence(0, size(lines) - {size}), i -> named_struct('h1', {key.format('')}, 'h2', {key.format(', 7')}, 'place', i))")
+    # each line's hash seeds the next one's: what makes h2 another function has to come first
+    key = "xxhash64({}" + ", ".join(f"lines[i + {k}]" for k in range(size)) + ")"
+    made = F.expr(f"transform(sequence(0, size(lines) - {size}), i -> named_struct('h1', {key.format('')}, 'h2', {key.format('7, ')}, 'place', i))")
     windows = w.stage(taken.select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*"))
     key = F.struct("h1", "h2")
     groups = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")

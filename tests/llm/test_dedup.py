@@ -114,6 +114,51 @@ def test_lines(spark, odd, odd_rows):
     assert {r[0]: r[1] for r in line_dedup(twice).collect()} == {1: "a\nb\nc\nx", 2: "", 3: "a\nb"}
 
 
+def colliding_windows():
+    """Two windows of three lines of 8 bytes whose Spark xxhash64 is the same: on 8 bytes it can be inverted."""
+    import random
+
+    top, p1, p2, p3, p4, p5 = 1 << 64, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    turn = lambda x, r: (x << r | x >> 64 - r) % top
+    inv = lambda p: pow(p, -1, top)
+
+    def hashed(line, seed):
+        h = (seed + p5 + 8) % top ^ turn(int.from_bytes(line.encode(), "little") * p2 % top, 31) * p1 % top
+        h = (turn(h, 27) * p1 + p4) % top
+        h = (h ^ h >> 33) * p2 % top
+        h = (h ^ h >> 29) * p3 % top
+        return h ^ h >> 32
+
+    def line_of(h, seed):
+        h = (h ^ h >> 32) * inv(p3) % top
+        h = (h ^ h >> 29 ^ h >> 58) * inv(p2) % top
+        h = turn((h ^ h >> 33) - p4 & top - 1, 0) * inv(p1) % top
+        h = turn(h, 37) ^ (seed + p5 + 8) % top
+        return (turn(h * inv(p1) % top, 33) * inv(p2) % top).to_bytes(8, "little")
+
+    rng = random.Random(1)
+    line = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    one = [line(), line(), line()]
+    want = 42
+    for x in one:
+        want = hashed(x, want)
+    while True:
+        other = [line(), line()]
+        last = line_of(want, hashed(other[1], hashed(other[0], 42)))
+        if all(32 <= c < 127 for c in last):
+            return "\n".join(one), "\n".join([*other, last.decode()])
+
+
+def test_lines_of_equal_first_hash(spark):
+    from pyspark.sql import functions as F
+
+    texts = colliding_windows()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = F.split("text", "\n")
+    assert docs.select(F.xxhash64(*(lines[i] for i in range(3)))).distinct().count() == 1
+    assert {r[0]: r[1] for r in line_dedup(docs).select("doc_id", "text").collect()} == dict(enumerate(texts))
+
+
 def near_groups(rows, percent):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     sets = {}
