@@ -9,7 +9,7 @@ place. Windows can only be equal if their anchors are, so:
 2. each run of consecutive windows with one reported anchor becomes a segment, and segments meet
    by anchor; equal ones are one entry, and a suffix array over all entries whose anchor has
    several gives the longest previous factor of every window's start, previous meaning in a
-   document with a smaller id; windows as long as that are covered;
+   document with a smaller id; factors of min_bytes or more are covered;
 3. covered spans go back to their documents and are merged and cut out.
 
 Work on a slice of rows is combined before it moves: an anchor or segment that many documents
@@ -58,42 +58,66 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _prefix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first `depth` bytes (8 or more), by prefix doubling from 8
-    bytes on. Past the end lies what is smaller than any byte."""
-    n, length, rank = len(data), 8, _ranks(_words64(data))
-    while length < depth:
-        step = min(length, depth - length)  # the second half may overlap the first
-        keys = rank << 32
-        keys[: max(0, n - step)] += rank[step:] + 1
-        rank, length = _ranks(keys), length + step
-    return rank
-
-
-def longest_previous(data: np.ndarray, owners: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Longest previous factors, cut to `depth`: for each of the suffixes at `starts`, which end
-    with their segments at `ends`, the length of its longest common prefix with a suffix whose
-    owner is smaller; 0 where that is less than depth.
-
-    The suffix array is the starts in the order of their first `depth` bytes. For each entry the
-    previous and the next one with a smaller owner are found by following pointers, together
-    with the least common prefix on the way; all entries step at once, and those whose common
-    prefix fell below depth stop."""
+def _prefix_ranks(data: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 8, 16, 32, ... bytes, by prefix doubling up to one that
+    has `longest` bytes. Past the end lies what is smaller than any byte."""
+    n, length, ranks = len(data), 8, [_ranks(_words64(data))]
+    while length < longest:
+        keys = ranks[-1] << 32
+        keys[: max(0, n - length)] += ranks[-1][length:] + 1
+        ranks.append(_ranks(keys))
+        length *= 2
+    return ranks
+
+
+def _common_prefixes(data: np.ndarray, ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes the suffixes at a and b have in common, `most` at most: steps of halving
+    lengths over what ranks say is equal, then the last bytes."""
+    n, got = len(data), np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        for _ in range(2 if k == len(ranks) - 1 else 1):
+            x, y = a + got, b + got
+            same = (x < n) & (y < n)
+            same[same] = ranks[k][x[same]] == ranks[k][y[same]]
+            got += same * (8 << k)
+    live = np.flatnonzero(got < most)
+    for _ in range(8):
+        x, y = a[live] + got[live], b[live] + got[live]
+        inside = (x < n) & (y < n) & (got[live] < most[live])
+        live, x, y = live[inside], x[inside], y[inside]
+        live = live[data[x] == data[y]]
+        got[live] += 1
+    return np.minimum(got, most)
+
+
+def longest_previous(data: np.ndarray, owners: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factors: for each of the suffixes at `starts`, which end with their
+    segments at `ends`, the length of its longest common prefix with a suffix whose owner is
+    smaller; 0 where that is under `least`. Segments are data in order, without gaps.
+
+    A suffix array of the starts is sorted by prefix doubling, and the common prefixes of its
+    neighbours are counted. For each entry the previous and the next one with a smaller owner
+    are found by following pointers, with the least common prefix on the way: no other suffix
+    of a smaller owner has more in common. All entries step at once; one stops where its
+    common prefix falls under `least` or under what it has found on the other side."""
     n = len(starts)
     if not n:
         return np.zeros(0, np.int64)
-    rank = _prefix_ranks(data, depth)[starts]
-    rank = np.where(starts + depth <= ends, rank, -1 - np.arange(n))  # too short to matter: alone
-    order = np.lexsort((starts, rank))
-    owner, sorted_rank = owners[order], rank[order]
+    # an end is a byte that UTF-8 lacks in texts moved up by one, and smaller than all of them
+    edges = np.unique(ends)
+    apart = np.insert(data + np.uint8(1), edges, 0)
+    starts, ends = starts + np.searchsorted(edges, starts, "right"), ends + np.searchsorted(edges, ends, "left")
+    ranks = _prefix_ranks(apart, int((ends - starts).max()) + 1)
+    order = np.argsort(ranks[-1][starts], kind="stable")
+    at_, end_, owner = starts[order], ends[order], owners[order]
     common = np.zeros(n + 1, np.int64)  # of entries i - 1 and i
-    common[1:n] = np.where(sorted_rank[1:] == sorted_rank[:-1], depth, 0)
+    common[1:n] = _common_prefixes(apart, ranks, at_[:-1], at_[1:], np.minimum((end_ - at_)[:-1], (end_ - at_)[1:]))
     best = np.zeros(n, np.int64)
     for step in (-1, 1):
         # entry i looks at at[i], with reach[i] bytes in common
         at = np.arange(n) + step
         reach = common[:n].copy() if step < 0 else common[1:].copy()
-        live = np.flatnonzero(reach >= depth)
+        live = np.flatnonzero(reach >= np.maximum(best + 1, least))
         jump, jump_reach = at.copy(), reach.copy()
         while len(live):
             seen = at[live]
@@ -105,7 +129,7 @@ def longest_previous(data: np.ndarray, owners: np.ndarray, starts: np.ndarray, e
             at[live] = jump[seen]
             # what a neighbour has passed over is not smaller than it, so it can be skipped
             jump[live], jump_reach[live] = at[live], reach[live]
-            live = live[reach[live] >= depth]
+            live = live[reach[live] >= np.maximum(best[live] + 1, least)]
     out = np.zeros(n, np.int64)
     out[order] = best
     return out
@@ -383,12 +407,12 @@ def _cover(length: int):
             base = np.cumsum(size) - size
             starts = _spread(base, n)
             factor = longest_previous(text, np.repeat(owner[entry], n), starts, np.repeat(base + size, n), length)
+            # a factor that long covers what it has in common with an earlier document
             hit = np.flatnonzero(factor >= length)
             if len(hit):
                 which, within = np.repeat(np.arange(len(entry)), n)[hit], starts[hit] - np.repeat(base, n)[hit]
-                opens = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (within[1:] > within[:-1] + length)]))
-                last = np.append(opens[1:], len(which)) - 1
-                tell(entry[which[opens]], within[opens], within[last] + length - within[opens])
+                which, within, covered = _merged_by_owner(which, within, factor[hit]).T
+                tell(entry[which], within, covered)
         out = _merged_by_owner(*np.concatenate(spans).T)
         return pa.table(dict(zip(("doc_id", "start", "length"), map(pa.array, out.T))))
 
