@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm._text import chunks
+from skein.llm._text import U64, chunks, mix
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 10_000
@@ -24,15 +24,19 @@ def _letters() -> np.ndarray:
     return np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), bool)
 
 
-@lru_cache(4096)
-def letter_vector(code: int, dim: int) -> np.ndarray:
-    """The random +1/-1 vector of a letter; code 0 is the gap between words."""
-    return (np.random.default_rng([code, dim]).integers(0, 2, dim, np.int8) * 2 - 1).astype(np.int8)
+def letter_vectors(codes: np.ndarray, dim: int) -> np.ndarray:
+    """The random +1/-1 vector of each letter, its bits hashed from code point and place; code 0 is
+    the gap between words."""
+    words = np.arange(-(-dim // 64), dtype=U64)
+    bits = mix(mix(codes.astype(U64) + U64(dim << 32))[:, None] + words * U64(0x9E3779B97F4A7C15))
+    return np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")[:, :dim].astype(np.int8) * 2 - 1
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Letter trigrams of lower-cased texts, runs of anything else being one gap: the code
-    points (a, b, c) of each different trigram, and for texts x trigrams how often each is there."""
+    points (a, b, c) of each different trigram, and, in the order of texts, (text, trigram, how
+    often) of those that a text has. No table of texts by trigrams is made, as short texts of
+    large alphabets have nearly as many trigrams as letters."""
     joined = "\0\0".join(texts).lower()
     lengths = [len(t.lower()) for t in texts]
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
@@ -62,16 +66,50 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     else:
         kinds, place = np.unique(trigram, return_inverse=True)
     abc = alphabet[np.stack([kinds // (n * n), kinds // n % n, kinds % n])]
-    counts = np.bincount(owner * len(kinds) + place, minlength=len(texts) * len(kinds)) if len(kinds) else np.zeros(0)
-    return abc, counts.reshape(len(texts), len(kinds)).astype(np.float32), gap
-
-
-def _gram_vectors(abc: np.ndarray, dim: int) -> np.ndarray:
-    """Each trigram's vector: its letters' vectors, turned by 2, 1 and 0 places, multiplied."""
+    each = owner * max(1, len(kinds)) + place
+    if len(texts) * len(kinds) < 1 << 24:
+        count = np.bincount(each)
+        each = np.flatnonzero(count)
+        count = count[each]
+    else:
+        each, count = np.unique(each, return_counts=True)
+    return abc, each // max(1, len(kinds)), each % max(1, len(kinds)), count.astype(np.float32)
+
+
+def _bundled(abc: np.ndarray, row: np.ndarray, kind: np.ndarray, weight: np.ndarray, rows: int, dim: int, block: int = 1 << 13) -> np.ndarray:
+    """For each row the weighted sum of its trigrams' vectors. Trigram vectors are made `block` at
+    a time and summed block by block: small tables by a matrix product, sparse ones by entries."""
+    out = np.zeros((rows, dim), np.float32)
+    order = np.argsort(kind, kind="stable")
+    row, kind, weight = row[order], kind[order], weight[order]
+    edges = np.searchsorted(kind, np.arange(0, abc.shape[1] + block, block))
+    at, turned = _letter_tables(abc, dim)
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        # a trigram's vector: its letters' turned vectors, multiplied
+        x, y, z = (t[p] for t, p in zip(turned, at[:, k * block : (k + 1) * block]))
+        vectors = (x * y * z).astype(np.float32)
+        r, c, w = row[a:b], kind[a:b] - k * block, weight[a:b]
+        there, r = np.unique(r, return_inverse=True)
+        if len(there) * len(vectors) <= min(64 * len(r), 1 << 24):
+            table = np.zeros((len(there), len(vectors)), np.float32)
+            table[r, c] = w
+            out[there] += table @ vectors
+            continue
+        order = np.argsort(r, kind="stable")
+        r, c, w = r[order], c[order], w[order]
+        for s in range(0, len(r), block):
+            part = vectors[c[s : s + block]]
+            part *= w[s : s + block, None]
+            of, first = np.unique(r[s : s + block], return_index=True)
+            out[there[of]] += np.add.reduceat(part, first, axis=0)
+    return out
+
+
+def _letter_tables(abc: np.ndarray, dim: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The trigrams in numbers of an alphabet, and its letters' vectors turned by 2, 1 and 0 places."""
     alphabet, at = np.unique(abc, return_inverse=True)
-    vectors = np.stack([letter_vector(int(c), dim) for c in alphabet]) if len(alphabet) else np.zeros((0, dim), np.int8)
-    a, b, c = at.reshape(abc.shape)
-    return (np.roll(vectors, 2, 1)[a] * np.roll(vectors, 1, 1)[b] * vectors[c]).astype(np.float32)
+    vectors = letter_vectors(alphabet, dim)
+    return at.reshape(abc.shape), [np.roll(vectors, 2, 1), np.roll(vectors, 1, 1), vectors]
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
@@ -87,14 +125,14 @@ class LanguageModel:
     dim: int
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        abc, counts, _ = _grams(texts)
-        if not len(self.languages) or not counts.size:
+        abc, row, kind, count = _grams(texts)
+        if not len(self.languages) or not count.size:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        documents = counts @ _gram_vectors(abc, self.dim)
+        documents = _bundled(abc, row, kind, count, len(texts), self.dim)
         norms = np.sqrt(np.einsum("ij,ij->i", documents, documents))
         cosines = documents @ self.prototypes.T / np.maximum(norms, 1e-9)[:, None]
         best = cosines.argmax(1)
-        empty = counts.sum(1) == 0
+        empty = np.bincount(row, minlength=len(texts)) == 0
         score = np.where(empty, 0, np.clip(cosines[np.arange(len(texts)), best], 0, 1)).astype(float)
         return [UNKNOWN if e else self.languages[b] for e, b in zip(empty, best)], score
 
@@ -107,14 +145,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for rows, _, _ in chunks(batches, text_col, 2 << 20):
-            abc, counts, _ = _grams(_texts(rows, text_col))
-            if not counts.size:
+            abc, row, kind, count = _grams(_texts(rows, text_col))
+            if not count.size:
                 continue
-            counts /= np.maximum(counts.sum(1, keepdims=True), 1)
-            langs = np.array(rows.column(lang_col).to_pylist(), object)
-            names = sorted(set(langs))
-            vectors = np.stack([counts[langs == k].sum(0) for k in names]) @ _gram_vectors(abc, dim)
-            for k, v in zip(names, vectors):
+            count /= np.bincount(row, weights=count)[row]
+            names, lang = np.unique(rows.column(lang_col).to_pylist(), return_inverse=True)
+            each, of = np.unique(lang[row] * abc.shape[1] + kind, return_inverse=True)
+            vectors = _bundled(abc, each // abc.shape[1], each % abc.shape[1], np.bincount(of, weights=count).astype(np.float32), len(names), dim)
+            for k, v in zip(names.tolist(), vectors):
                 sums[k] = sums.get(k, 0) + v.astype(float)
         for k, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * dim, pa.string()), "place": pa.array(range(dim), pa.int32()), "x": v})
@@ -146,15 +184,17 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, _SCHEMA)
 
 
-def filter_languages(docs: DataFrame, model: LanguageModel, min_score: float = 0.05, min_bytes: int = 100, text_col: str = "text") -> DataFrame:
+def filter_languages(docs: DataFrame, model: LanguageModel, min_score: float | None = None, min_bytes: int = 100, text_col: str = "text") -> DataFrame:
     """docs without the rows that language identification rejects: those that are `und`, and
     those of min_bytes or more whose score is below min_score, which are like no language
-    learned; shorter texts' scores say too little. All columns stay."""
+    learned; shorter texts' scores say too little. By default that is four standard deviations
+    of the cosine of unrelated vectors, 4 / sqrt(dim). All columns stay."""
+    least = 4 / model.dim**0.5 if min_score is None else min_score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, offsets in chunks(batches, text_col, 2 << 20):
             names, score = model.predict(_texts(rows, text_col))
-            good = [n != UNKNOWN and (s >= min_score or size < min_bytes) for n, s, size in zip(names, score, np.diff(offsets))]
+            good = [n != UNKNOWN and (s >= least or size < min_bytes) for n, s, size in zip(names, score, np.diff(offsets))]
             yield rows.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
