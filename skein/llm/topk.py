@@ -27,16 +27,22 @@ def _quantised(column: pa.Array, scale: int) -> list[np.ndarray | None]:
     return out
 
 
-def vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, dim, norm, data): quantised vectors as float64 bytes, which hold them exactly."""
+def vectors(rows: DataFrame, is_query: Column, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """(vec_id, dim, norm, data, asked): quantised vectors as float64 bytes, which hold them exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, len(x), float(np.sqrt(np.square(x / 2.0**500).sum()) * 2.0**500) if x.size and np.abs(x).max() > 1e150 else float(np.sqrt(np.square(x).sum())), x.tobytes()) for i, x in zip(batch.column(id_col).to_pylist(), _quantised(batch.column(vector_col), scale)) if x is not None and i is not None]
-            i, d, n, x = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(d, pa.int32()), pa.array(n, pa.float64()), pa.array(x, pa.binary())], ["vec_id", "dim", "norm", "data"])
+            found = []
+            columns = (batch.column(id_col).to_pylist(), _quantised(batch.column(vector_col), scale), batch.column("asked").to_pylist())
+            for i, x, asked in zip(*columns):
+                if x is not None and i is not None:
+                    unit = 2.0**500 if x.size and np.abs(x).max() > 1e150 else 1.0  # squares stay finite
+                    found.append((i, len(x), float(np.sqrt(np.square(x / unit).sum()) * unit), x.tobytes(), asked))
+            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 5, kinds)], ["vec_id", "dim", "norm", "data", "asked"])
 
-    return rows.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias(vector_col)).mapInArrow(run, "vec_id long, dim int, norm double, data binary")
+    asked = F.coalesce(is_query, F.lit(False)).alias("asked")
+    return rows.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias(vector_col), asked).mapInArrow(run, "vec_id long, dim int, norm double, data binary, asked boolean")
 
 
 def _block(key: tuple, rows: pa.Table) -> pa.Table:
@@ -100,68 +106,88 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, x: np.ndar
         yield i, keep[best], got[best]
 
 
+def block_pairs(queries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(q_block, block) of the blocks that a block of queries has to meet: of the lengths of its
+    dimension that reach the least one `needed`. A length's blocks are numbered, so no block is
+    looked up, and no pair is made that is dropped later."""
+    reached = queries.select("q_block", "dim", "needed").join(F.broadcast(sizes), "dim").filter(F.col("longest") >= F.col("needed"))
+    pairs = reached.select("q_block", "dim", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return pairs.select("q_block", F.xxhash64("dim", "bucket", "part").alias("block"))
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = 4096, query_block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that is_query marks the k other rows with
     the largest integer inner products of floor(scale * x), ties to the smaller id.
 
-    Vectors are grouped by length, in steps of a twentieth, and a length's vectors are split by
-    a hash into blocks of about `block`. Queries first meet the longest block of their
-    dimension, which gives each a score it must reach; then every block once, where
-    search_block() prunes by that score.
+    Vectors are grouped by length, in steps of a twentieth, and a length's vectors are dealt into
+    blocks of about `block`. Queries first meet the longest block of their dimension, which gives
+    each a score it must reach. A block of queries then meets only blocks of lengths in which one
+    of its queries could still reach its score; these pairs are told from lengths alone, before
+    any vector moves, and search_block() prunes within them.
 
     Vectors that are null, or hold null or non-finite components, or whose id is null, take no
     part; only vectors of equal dimension are compared. A query without candidates has no
-    row. Rows that repeat an id are candidates each, but a query's own id is never its result.
+    row. Rows that repeat an id are candidates each, but a query's own id is never its result; a
+    repeated id with different vectors asks with each. is_query is any condition on the columns of
+    rows; null is no query.
     Scores beyond 64 bits are cut to them. Other columns are not read; an empty table gives none.
     """
     spark = rows.sparkSession
     with Workspace(spark, "top-k") as w:
-        stored = w.stage(vectors(rows, id_col, vector_col, scale))
+        stored = w.stage(vectors(rows, is_query, id_col, vector_col, scale))
         bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / F.log(F.lit(1.05)))).otherwise(-100_000).cast("long")
         keyed = stored.withColumn("bucket", bucket)
-        sizes = keyed.groupBy("dim", "bucket").count()
         # the number of lengths is bounded by the range of doubles, about 30,000 a dimension
-        parts = F.ceil(F.col("count") / block).cast("long").alias("parts")
-        keyed = keyed.join(F.broadcast(sizes.select("dim", "bucket", parts)), ["dim", "bucket"])
-        keyed = keyed.withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("block", F.xxhash64("dim", "bucket", "part"))
+        sizes = keyed.groupBy("dim", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest"))
+        sizes = w.stage(sizes.select("dim", "bucket", "longest", F.ceil(F.col("n") / block).cast("long").alias("parts")))
+        keyed = keyed.join(F.broadcast(sizes.select("dim", "bucket", "parts")), ["dim", "bucket"])
+        # rows of one id are dealt over all blocks of their length, too
+        keyed = keyed.withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), "parts")).withColumn("block", F.xxhash64("dim", "bucket", "part"))
         blocks = w.stage(keyed.select("block", "part", "bucket", "dim", "vec_id", "norm", "data").groupBy("block").applyInArrow(_block, _BLOCK))
-        asked = stored.filter(is_query).dropDuplicates(["vec_id", "data"])
+        asked = w.stage(stored.filter("asked").dropDuplicates(["vec_id", "data"]))
         n_parts = max(1, -(-asked.count() // query_block))
         asked = asked.withColumns({"part": F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)), "bucket": F.lit(0).cast("long")}).withColumn("block", F.xxhash64("dim", "part"))
         queries = w.stage(asked.select("block", "part", "bucket", "dim", "vec_id", "norm", "data").groupBy("block").applyInArrow(_block, _BLOCK))
-        queries = queries.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-        x_side = blocks.select("block", "dim", F.col("ids"), F.col("data"))
+        queries = queries.select(F.col("block").alias("q_block"), "part", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                    q, x = np.frombuffer(r["q_data"]).reshape(len(q_ids), r["dim"]), np.frombuffer(r["data"]).reshape(len(ids), r["dim"])
-                    least = np.frombuffer(r["least"]) if r.get("least") else np.full(len(q_ids), -np.inf)
+                with_goal = "least" in batch.schema.names
+                for r in range(batch.num_rows):
+                    # views of the batch's bytes, not copies
+                    q_ids, ids = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64) for c in ("q_ids", "ids"))
+                    dim = batch.column("dim")[r].as_py()
+                    q, x = (np.frombuffer(batch.column(c)[r].as_buffer()).reshape(n, dim) for c, n in (("q_data", len(q_ids)), ("data", len(ids))))
+                    least = np.frombuffer(batch.column("least")[r].as_buffer()) if with_goal else np.full(len(q_ids), -np.inf)
                     out = [(q_ids[i], v, s) for i, found, got in search_block(q, q_ids, least, x, ids, k) for v, s in zip(found, got)]
                     a, b, c = zip(*out) if out else ((), (), ())
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["query_id", "vec_id", "score"])
 
-        leader = x_side.join(F.broadcast(blocks.groupBy("dim").agg(F.max_by("block", F.struct("longest", "block")).alias("block"))), ["dim", "block"])
-        first = queries.join(leader, "dim").select("q_ids", "q_data", "dim", "ids", "data").mapInArrow(run, _FOUND)
+        # the longest block of a dimension, once for each part of the queries
+        leader = blocks.groupBy("dim").agg(F.max_by("block", F.struct("longest", "block")).alias("block"))
+        leader = leader.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long")))).join(blocks.select("block", "ids", "data"), "block")
+        first = queries.join(leader, ["dim", "part"]).select("q_ids", "q_data", "dim", "ids", "data").mapInArrow(run, _FOUND)
         least = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
         # back to the blocks of queries: their scores in the order of their ids
         per = asked.select(F.col("block").alias("q_block"), F.col("vec_id").alias("query_id")).distinct().join(least, "query_id", "left")
         per = per.groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "least"))).alias("goal"))
-        queries = queries.join(per, "q_block")
 
         def with_goals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                goals = []
-                for ids, goal in zip(batch.column("q_ids").to_pylist(), batch.column("goal").to_pylist()):
-                    goal = dict(goal)
-                    goals.append(np.array([-np.inf if goal[i] is None else float(goal[i]) for i in np.frombuffer(ids, np.int64).tolist()]).tobytes())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q_block", "dim", "q_ids", "q_data")), pa.array(goals, pa.binary())], ["q_block", "dim", "q_ids", "q_data", "least"])
-
-        queries = w.stage(queries.mapInArrow(with_goals, "q_block long, dim int, q_ids binary, q_data binary, least binary"))
-        # every block of queries meets every block of its dimension: block ids alone are paired
-        met = queries.select("q_block", "dim").join(blocks.select("block", "dim"), "dim").select("q_block", "block")
-        met = met.join(queries, "q_block").join(x_side.drop("dim"), "block")
+                goals, needed = [], []
+                for ids, data, dim, goal in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_data", "dim", "goal"))):
+                    goal, ids = dict(goal), np.frombuffer(ids, np.int64)
+                    least = np.array([-np.inf if goal[i] is None else float(goal[i]) for i in ids.tolist()])
+                    lengths = np.sqrt(np.square(np.frombuffer(data).reshape(len(ids), dim)).sum(1))
+                    goals.append(least.tobytes())
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        each = np.where(least <= 0, -np.inf, least / lengths)  # at least so long; any if 0 is enough
+                    needed.append(float(np.nan_to_num(each, nan=-np.inf, posinf=np.inf, neginf=-np.inf).min()) * (1 - 1e-9))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q_block", "dim", "q_ids", "q_data")), pa.array(goals, pa.binary()), pa.array(needed, pa.float64())], ["q_block", "dim", "q_ids", "q_data", "least", "needed"])
+
+        queries = w.stage(queries.join(per, "q_block").mapInArrow(with_goals, "q_block long, dim int, q_ids binary, q_data binary, least binary, needed double"))
+        met = block_pairs(queries, sizes).join(queries.drop("dim", "needed"), "q_block")
+        met = met.hint("merge").join(blocks.select("block", "dim", "ids", "data"), "block")
         found = w.keep(met.select("q_ids", "q_data", "least", "dim", "ids", "data").mapInArrow(run, _FOUND))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
