@@ -122,14 +122,14 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.i I
 SELECT doc_id, CAST(CASE WHEN missing THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines, n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d JOIN kept USING (doc_id)""",
     "op5_chat_format": """
-WITH s AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said, coalesce(turn // 4096, 0) AS piece FROM conversations),
+WITH s AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS told, replace(coalesce(text, ''), '<|', '< |') AS said, coalesce(turn // 4096, 0) AS piece FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'),
 r AS (
-  SELECT s.conv_id, perspective, piece, turn, speaker, said, speaker = perspective AS own,
-    CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user:' || speaker || '|>' END || chr(10) || said || chr(10) AS part
+  SELECT s.conv_id, perspective, piece, turn, speaker, told, said, speaker = perspective AS own,
+    CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user:' || replace(speaker, '<|', '< |') || '|>' END || chr(10) || said || chr(10) AS part
   FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id)
-SELECT conv_id, perspective, piece, string_agg(part, '' ORDER BY turn NULLS FIRST, speaker, said) AS text, count(*) AS n_turns,
-  string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY turn NULLS FIRST, speaker, said) AS train_mask,
+SELECT conv_id, perspective, piece, string_agg(part, '' ORDER BY turn NULLS FIRST, speaker, told) AS text, count(*) AS n_turns,
+  string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY turn NULLS FIRST, speaker, told) AS train_mask,
   CAST(coalesce(sum(length(said) + 1) FILTER (WHERE own), 0) AS BIGINT) AS n_train_chars, count(*) FILTER (WHERE own) AS n_train_spans
 FROM r GROUP BY conv_id, perspective, piece""",
     "op8_near_dedup": f"""
