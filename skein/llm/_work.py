@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir where it is set. Only a
+    session within one process, as in tests, does without."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not _local_dir:  # a local session, as in tests
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="skein-"))
     return f"file://{_local_dir[0]}"
 
@@ -64,6 +68,15 @@ class Workspace:
         return self._write(df, self.kept)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    end = ""
+    while any((n + end).lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
