@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm._work import Workspace, attach
+from skein.llm._work import Workspace, attach, fresh
 
 
 def repeated_lines(w: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -28,24 +28,28 @@ def repeated_lines(w: Workspace, docs: DataFrame, id_col: str = "doc_id", text_c
     return later.groupBy("doc_id").agg(F.collect_set("place").alias("places")).select("doc_id", F.array_sort(cover).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, counts: bool = True) -> DataFrame:
     """docs with the lines gone that later occurrences of a repeated window of `size` lines
-    cover, and two columns more: n_lines, n_removed. All rows and other columns stay.
+    cover, and two columns more: n_lines, n_removed; not these without counts. All rows and other
+    columns stay.
 
     Lines are what newlines separate, compared exactly, empty ones too; windows never cross
     texts. Texts of fewer than `size` lines and null texts stay as they are (a null has 0 lines).
     All of a text may go; it is then empty. Rows that repeat a doc_id are one text's
     occurrences at the same places: they count as one occurrence. Rows with a null doc_id stay
-    as they are. Columns of docs named n_lines or n_removed are replaced.
+    as they are. With counts, columns of docs named n_lines or n_removed are replaced; no other
+    name clashes. An empty table gives no rows.
     """
+    id_, gone_ = fresh(docs, "line_doc", "line_gone")
     with Workspace(docs.sparkSession, "line-dedup") as w:
-        gone = w.keep(repeated_lines(w, docs, id_col, text_col, size).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone")))
-    docs = docs.drop("n_lines", "n_removed")
-    joined = docs.join(gone, docs[id_col] == gone["__id"], "left")
+        gone = w.keep(repeated_lines(w, docs, id_col, text_col, size).select(F.col("doc_id").alias(id_), F.col("gone").alias(gone_)))
+    docs = docs.drop("n_lines", "n_removed") if counts else docs
+    joined = docs.join(gone, docs[id_col] == gone[id_], "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    out = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)))
-    out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)))
-    out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_))
+    text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    kept = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    if counts:
+        kept.append(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"))
+        kept.append(F.coalesce(F.size(gone_), F.lit(0)).alias("n_removed"))
+    return joined.select(kept)
