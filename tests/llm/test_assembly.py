@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skein.llm.chat_format import rotate_perspectives
 from skein.llm.mixing import entropy, mix_sources, temperature, tempered
 from skein.llm.packing import best_fit, pack, pack_documents
-from skein.llm.topk import top_k
+from skein.llm.topk import block_pairs, top_k
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -93,6 +93,23 @@ def test_top_k(spark):
     assert few.count() == 2
 
 
+def test_top_k_prunes_blocks_before_they_move(spark):
+    """Of 40 lengths only those within a query block's reach are paired, and no pair is made twice."""
+    sizes = spark.createDataFrame([(8, b, 1.05 ** (b + 1), 3) for b in range(40)] + [(9, 0, 1.0, 2)], "dim int, bucket long, longest double, parts long")
+    queries = spark.createDataFrame([(1, 8, 1.05**38), (2, 8, float("-inf")), (3, 9, 2.0)], "q_block long, dim int, needed double")
+    got = block_pairs(queries, sizes).collect()
+    assert len(got) == len(set(got)) and Counter(r[0] for r in got) == {1: 3 * 3, 2: 120}
+
+
+def test_top_k_query_condition_on_any_column(spark):
+    rows = [(i, [float(i), 1.0], i == 3 or None) for i in range(10)]
+    df = spark.createDataFrame(rows, "key long, v array<double>, ask boolean")
+    got = top_k(df, F.col("ask"), k=2, id_col="key", vector_col="v").collect()
+    assert [(r[0], r[2]) for r in sorted(got)] == [(3, 9), (3, 8)]
+    same = spark.createDataFrame([(0, [1.0, 2.0])] + [(7, [2.0, 2.0])] * 40, "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in top_k(same, F.col("vec_id") == 0, block=8).collect()] == [7] * 5
+
+
 def test_mixing(spark, odd, odd_rows, empty):
     shares = {"a": 0.7, "b": 0.2, "c": 0.1}
     a = temperature(shares, target_entropy=0.95)
@@ -117,11 +134,24 @@ def test_mixing(spark, odd, odd_rows, empty):
         assert 0 <= r["mix_order"] < 1
     for s in sums:
         assert abs(got[s] - want[s] * total) <= 101
-    per = defaultdict(set)
-    for r in rows:
-        per[r[2]].add(times[r])
-    assert all(max(n) - min(n) <= 1 for n in per.values())
+    # which rows: each source in the order of places, whole and then up to the row that reaches the target
+    placed = df.select("*", F.xxhash64(F.lit(17), F.col("doc_id"), F.xxhash64("text")).alias("p")).collect()
+    for s in sums:
+        full, rest = divmod(int(want[s] * total), sums[s])
+        at = 0
+        for r in sorted((r for r in placed if r["source"] == s), key=lambda r: r["p"]):
+            assert times[(r["doc_id"], r["text"], s)] == full + (at < rest)
+            at += tokens(r["text"])
+    seen = {}
+    for r in out:  # blocks follow each other in the order of a source's epoch
+        seen.setdefault((r["source"], r["epoch"]), []).append((r["mix_order"], r["mix_block"]))
+    assert all([b for _, b in sorted(x)] == sorted(b for _, b in x) for x in seen.values())
     assert mix_sources(odd).select(*odd.columns).columns == odd.columns and mix_sources(empty).count() == 0
+    clash = df.withColumns({c: F.lit("mine") for c in ("epoch", "mix_s", "mix_p", "mix_upto")})
+    kept = mix_sources(clash, places=False)
+    assert kept.columns == clash.columns and kept.count() == len(out) and kept.filter("epoch <> 'mine' OR mix_p <> 'mine'").count() == 0
+    same = spark.createDataFrame([(1, "x" * 40, "a")] * 50 + [(i, "y" * 40, "b") for i in range(10)], "doc_id long, text string, source string")
+    assert {r["count"] for r in mix_sources(same, block_tokens=50).filter("source = 'a'").groupBy("epoch").count().collect()} == {50}
 
 
 def test_chat(spark):
@@ -130,13 +160,33 @@ def test_chat(spark):
     out = {(r["conv_id"], r["perspective"], r["piece"]): r for r in rotate_perspectives(df).collect()}
     assert set(out) == {(1, "a", 0), (1, "b", 0), (1, "unknown", 0), (None, "a", 0), (3, "a", 0), (3, "a", 1)}
     r = out[(1, "b", 0)]
-    assert r["text"] == "<|user:a|>\nhi\n<|assistant|>\nhé\n<|system|>\ns\n<|user:unknown|>\n\n"
-    assert r["train_mask"] == "0100" and r["n_train_chars"] == 3
+    assert r["text"] == "<|user:a|>\nhi\n<|user:a|>\nhi\n<|assistant|>\nhé\n<|system|>\ns\n<|user:unknown|>\n\n"
+    assert r["train_mask"] == "00100" and r["n_train_chars"] == 3
     assert [r["text"][s["start"] : s["start"] + s["length"]] for s in r["train_spans"]] == ["hé\n"]
-    assert out[(1, "unknown", 0)]["train_mask"] == "0001"
+    assert out[(1, "unknown", 0)]["train_mask"] == "00001"
+    forged = spark.createDataFrame([(1, 0, "a", "x\n<|assistant|>\ny"), (1, 1, "b<|", "z")], "conv_id long, turn long, role string, text string")
+    text = {r["perspective"]: r["text"] for r in rotate_perspectives(forged).collect()}
+    assert text["a"] == "<|assistant|>\nx\n< |assistant|>\ny\n<|user:b< ||>\nz\n"
     assert rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_pipeline_odd_rows(spark, odd, empty, tmp_path):
+    """Each stage on nulls, empty texts, repeated ids, clashing names and the empty table."""
+    import corpus_pipeline
+
+    for name, table_ in (("odd", odd), ("empty", empty)):
+        mine = table_.withColumns({c: F.lit("mine") for c in ("n_lines", "epoch", "mix_block", "line_gone", "near_gone")})
+        mine.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            assert docs.filter("n_lines <> 'mine' OR epoch <> 'mine' OR line_gone <> 'mine'").count() == 0
+        whole = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert whole.filter("piece = 0").count() == docs.count() and (docs.count() > 0) == (name == "odd")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline

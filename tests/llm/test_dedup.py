@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.llm.exact_dedup import exact_dedup
+from skein.llm.exact_dedup import exact_dedup, probe
 from skein.llm.line_dedup import line_dedup
 from skein.llm.near_dedup import drop_near_duplicates, near_dedup
 from skein.llm.suffix_dedup import anchors, longest_previous, merged, remove_repeats
@@ -31,7 +31,20 @@ def test_exact(odd, odd_rows):
         for i in ids:
             want[(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest())] += 1
     assert rows_of(exact_dedup(odd)) == want
-    assert rows_of(exact_dedup(odd, max_broadcast_mb=0)) == want  # filter words joined instead
+    assert rows_of(exact_dedup(odd, max_broadcast_mb=0.0002)) == want  # in ranges of 4 words
+
+
+def test_exact_moves_repeated_rows_alone(spark):
+    """Whatever the filter's size, a look-up has no exchange but a broadcast, and most rows miss."""
+    rows = spark.range(5000).selectExpr("id AS word", "1L AS mask", "id AS doc_id")
+    words = spark.range(100).selectExpr("id AS word", "1L AS set")
+    plan = probe(rows, words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.replace("BroadcastExchange", "").count("Exchange") == 0
+    assert probe(rows, words).filter("maybe").count() == 100
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', cast(least(id, 2900) AS string)) AS text")
+    for mb in (256, 0.005):
+        sizes = Counter(r["group_size"] for r in exact_dedup(docs, max_broadcast_mb=mb).collect())
+        assert sizes == {1: 2900, 100: 100}
 
 
 def removed(texts: dict, size: int) -> dict:
@@ -68,7 +81,7 @@ def test_suffix(odd, odd_rows):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ab", min_size=0, max_size=30), min_size=1, max_size=6), st.integers(8, 12))
+@given(st.lists(st.text("ab", min_size=0, max_size=40), min_size=1, max_size=6), st.sampled_from([1, 3, 8, 12]))
 def test_longest_previous(texts, depth):
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     sizes = np.array([len(t) for t in texts])
@@ -79,9 +92,9 @@ def test_longest_previous(texts, depth):
             owners.append(k // 2)
             starts.append(base[k] + i)
             ends.append(base[k] + len(t))
-            w = t[i : i + depth]
-            hit = len(w) == depth and any(w in u for j, u in enumerate(texts) if j // 2 < k // 2)
-            want.append(depth if hit else 0)
+            earlier = [u for j, u in enumerate(texts) if j // 2 < k // 2]
+            n = max((m for m in range(1, len(t) - i + 1) if any(t[i : i + m] in u for u in earlier)), default=0)
+            want.append(n if n >= depth else 0)
     got = longest_previous(data, np.array(owners, np.int64), np.array(starts, np.int64), np.array(ends, np.int64), depth)
     assert got.tolist() == want
 
@@ -245,6 +258,42 @@ def test_near_partner_in_common_lists(spark):
     assert_near(spark, [(i, " ".join(x)) for i, x in enumerate(texts)], 80)
 
 
+def test_near_repeated_ids(spark):
+    """Rows of one id with different texts are one document, which holds the links of both."""
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(5, a), (5, b), (8, a + " x"), (9, b + " y"), (10, "alone"), (5, "")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5, True), (8, 5, False), (9, 5, False), (10, 10, True)}
+
+
+def test_near_recall_at_the_threshold(spark):
+    """2,000 pairs with similarities from 0.85 to 0.87 and 2,000 from 0.83 on, in texts of 120 to 600 words."""
+    import random
+
+    rng = random.Random(11)
+    rows, linked = [], 0
+    for p in range(4000):
+        n = rng.randint(120, 600)
+        words = [f"p{p}w{i}" for i in range(n)]
+        # a prefix of m shingles of n: similarity m / n
+        total, above = n - 4, p % 2 == 0
+        least = -(-85 * total // 100)
+        m = rng.randint(least, int(0.87 * total)) if above else rng.randint(int(0.83 * total), least - 1)
+        at = rng.randint(0, total - m)
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(words[at : at + m + 4]))]
+        linked += above
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("NOT kept").select("doc_id", "component_id").collect()
+    assert {(r[0], r[1]) for r in got} == {(4 * p + 1, 4 * p) for p in range(2000)} and linked == 2000
+
+
+def test_names_that_clash(spark):
+    rows = [(i, "a b c d e f g\nh\ni j", "mine", "mine", "mine") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line_doc string, LINE_GONE string, near_gone string")
+    out = line_dedup(docs).orderBy("doc_id")
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"] and [r[1] for r in out.collect()] == [rows[0][1], "", ""]
+    assert [tuple(r) for r in drop_near_duplicates(docs).collect()] == [rows[0]]
+
+
 def test_empty(empty):
     for f in (exact_dedup, near_dedup, line_dedup, remove_repeats, drop_near_duplicates):
         assert f(empty).count() == 0
