@@ -13,27 +13,32 @@ from skein.llm.packing import pack_documents
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letters, or are long and like no learned language."""
+    """Without documents that have no letters, null and empty ones among them, or are long and like
+    no learned language. If no row has a language there is nothing to compare with, and all go."""
     return filter_languages(docs, train(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without later occurrences of three-line windows; a text may end up empty, no row goes."""
-    return line_dedup(docs).drop("n_lines", "n_removed")
+    """Without later occurrences of three-line windows; a text may end up empty, no row goes. Null
+    texts and rows with a null doc_id stay as they are."""
+    return line_dedup(docs, counts=False)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates, the smallest doc_id: five-word shingles,
+    similarity 0.8. Empty texts and rows with a null doc_id stay."""
     return drop_near_duplicates(docs, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in tempered shares; a document that two epochs take appears twice."""
-    return mix_sources(docs).drop("epoch", "mix_block", "mix_order")
+    """Sources in tempered shares; a document that two epochs take appears twice. A null source is
+    a source, an empty text counts as one token."""
+    return mix_sources(docs, places=False)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens: a row for each piece of a document, with its place."""
+    """Sequences of 1024 tokens: a row for each piece of a document, with its place; an empty text
+    is its end token alone."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
