@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skein.functions.vectors import scale
 from skein.graph import View
 from skein.operators.paths import bfs_levels, shortest_distances
-from skein.plans.iterate import EVERY, cut, is_empty
+from skein.plans.iterate import EVERY, cut, is_empty, note
 
 
 def _sources(view: View, source_nodes) -> DataFrame | None:
@@ -35,16 +35,19 @@ def _propagate(view: View, divisor, damping: float, tolerance: float, max_iterat
     state = view.ids.withColumn("rank", F.lit(base))
     if start is not None:
         state = view.ids.join(start.withColumn("s", F.lit(base)), "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("rank"))
-    state = cut(state.withColumn("delta", F.col("rank")))
+    state = stored = cut(state.withColumn("delta", F.col("rank")))
+    note(ranIterations=1, didConverge=False)
     for k in range(1, max_iterations):
+        note(ranIterations=k + 1)
         senders = state.filter(F.col("delta") > tolerance) if k > 1 else state
         sent = links.join(senders.select(F.col("id").alias("src"), "delta"), "src")
         inbox = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("delta")).alias("m"))
         change = damping * F.coalesce(F.col("m"), F.lit(0.0))
         state = state.join(inbox, "id", "left").select("id", (F.col("rank") + change).alias("rank"), change.alias("delta"))
         if k % EVERY == 0 and k + 1 < max_iterations:
-            state = cut(state)
+            state = stored = cut(state, stored)
             if is_empty(state.filter(F.col("delta") > tolerance)):
+                note(didConverge=True)
                 break
     return scale(state.select(F.col("id").alias("nodeId"), F.col("rank").alias("score")), "score", scaler)
 
@@ -85,6 +88,7 @@ def eigenvector(view: View, tolerance: float = 1e-7, max_iterations: int = 20, s
         length = math.sqrt(new.agg(F.sum(F.col("next") * F.col("next"))).first()[0] or 1.0)
         change = new.agg(F.max(F.abs(F.col("next") / length - F.col("rank")))).first()[0] or 0.0
         state = new.select("id", (F.col("next") / length).alias("rank"), "next")
+        note(ranIterations=k + 1, didConverge=bool(k and change <= tolerance))
         if k and change <= tolerance:
             break
     return scale(state.select(F.col("id").alias("nodeId"), F.col("rank").alias("score")), "score", scaler)
@@ -322,3 +326,8 @@ def indirect_exposure(view: View, sanctioned: DataFrame, transfers: DataFrame |
     return done
 
 
+def exposure_to(view: View, sanctioned_property: str, total_transfers_property: str | None = None, max_iterations: int = 20) -> DataFrame:
+    """indirect_exposure() to the nodes whose property is above 0."""
+    sanctioned = view.nodes.filter(F.col(sanctioned_property).cast("double") > 0).select("id")
+    totals = None if total_transfers_property is None else view.nodes.select("id", F.col(total_transfers_property).cast("double").alias("total"))
+    return indirect_exposure(view, sanctioned, totals, max_iterations)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein.graph import View
-from skein.plans.iterate import cut, is_empty
+from skein.plans.iterate import cut, is_empty, note
 
 
 def contracted_labels(edges: DataFrame) -> DataFrame:
@@ -114,12 +114,15 @@ def label_propagation(view: View, max_iterations: int = 10, node_weight_property
         links = links.join(view.nodes.select(F.col("id").alias("dst"), F.col(node_weight_property).cast("double").alias("nw")), "dst").withColumn("weight", F.col("weight") * F.col("nw"))
     links = cut(links.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     labels = cut(labels)
-    for _ in range(1, max_iterations):
+    note(ranIterations=1, didConverge=False)
+    for k in range(1, max_iterations):
         votes = links.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("vote"))
         best = votes.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("vote", (-F.col("label")).alias("n"))).alias("b")).select("id", (-F.col("b.n")).alias("new"))
         joined = cut(labels.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.col("new") != F.col("label")).alias("moved")))
         labels = joined.drop("moved")
-        if is_empty(joined.filter("moved")):
+        still = is_empty(joined.filter("moved"))
+        note(ranIterations=k + 1, didConverge=still)
+        if still:
             break
     return labels.select(F.col("id").alias("nodeId"), F.col("label").alias("communityId"))
 
@@ -147,6 +150,21 @@ def conductance(view: View, communities: DataFrame) -> DataFrame:
     return both.groupBy(F.col("cs").alias("community")).agg((out / F.sum("weight")).alias("conductance"))
 
 
+def _property_communities(view: View, community_property: str) -> DataFrame:
+    found = view.nodes.filter(F.col(community_property).isNotNull())
+    return found.select(F.col("id").alias("nodeId"), F.col(community_property).cast("long").alias("communityId"))
+
+
+def property_modularity(view: View, community_property: str) -> DataFrame:
+    """modularity() of the communities that a node property names."""
+    return modularity(view, _property_communities(view, community_property))
+
+
+def property_conductance(view: View, community_property: str) -> DataFrame:
+    """conductance() of the communities that a node property names."""
+    return conductance(view, _property_communities(view, community_property))
+
+
 def _weighted_links(view: View) -> DataFrame:
     """(src, dst, w) in both directions, parallel edges summed."""
     return cut(view.both_ways().edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
@@ -186,6 +204,7 @@ def _local_moves(links: DataFrame, start: DataFrame, max_iterations: int, tolera
         idle = 0 if q > best_q + tolerance else idle + 1
         if q > best_q:
             best, best_q = state, q
+        note(ranIterations=r + 1, didConverge=idle == 2)
         if idle == 2:
             break
     return best.select("id", "c"), best_q
@@ -205,7 +224,8 @@ def _start(view: View, seed_property: str | None) -> DataFrame:
 
 def modularity_optimization(view: View, max_iterations: int = 10, tolerance: float = 1e-4, seed_property: str | None = None) -> DataFrame:
     """(nodeId, communityId) of one level of local moves."""
-    state, _ = _local_moves(_weighted_links(view), _start(view, seed_property), max_iterations, tolerance)
+    state, quality = _local_moves(_weighted_links(view), _start(view, seed_property), max_iterations, tolerance)
+    note(modularity=quality)
     return _named(view.ids, state)
 
 
@@ -220,7 +240,8 @@ def louvain(view: View, max_levels: int = 10, max_iterations: int = 10, toleranc
     links = _weighted_links(view)
     state, quality = _local_moves(links, _start(view, seed_property), max_iterations, tolerance, gamma)
     place = cut(view.ids.join(state, "id", "left").select("id", F.coalesce("c", "id").alias("c")))
-    levels = [place]
+    levels, qualities = [place], [quality]
+    done = False
     for _ in range(1, max_levels):
         if refine:
             parts = _refined(links, state, gamma, theta, random_seed)
@@ -234,10 +255,13 @@ def louvain(view: View, max_levels: int = 10, max_iterations: int = 10, toleranc
             nodes = place.select("id", F.col("c").alias("node"))
         new, q = _local_moves(links, start, max_iterations, tolerance, gamma)
         if q <= quality + tolerance:
+            done = True
             break
         state, quality = new, q
+        qualities.append(q)
         place = cut(nodes.join(new.withColumnRenamed("id", "node"), "node", "left").select("id", "node", F.coalesce("c", "node").alias("c")))
         levels.append(place)
+    note(ranLevels=len(levels), didConverge=done, modularity=quality, modularities=qualities)
     out = _named(view.ids, place.select("id", "c"))
     if include_intermediate_communities:
         for k, level in enumerate(levels):
@@ -299,25 +323,44 @@ def k1_coloring(view: View, max_iterations: int = 10, palette: int = 8) -> DataF
         rival = picked.select(F.col("id").alias("dst"), F.col("h").alias("oh"), F.col("pick").alias("op"))
         lost = picked.select(F.col("id").alias("src"), "h", "pick").join(links, "src").join(rival, "dst").filter("pick = op AND struct(oh, dst) > struct(h, src)").select(F.col("src").alias("id")).distinct()
         won = picked.join(lost, "id", "left_anti").select("id", F.col("pick").alias("new"))
-        state = cut(state.join(won, "id", "left").select("id", "h", F.coalesce("color", "new").alias("color")))
+        state = cut(state.join(won, "id", "left").select("id", "h", F.coalesce("color", "new").alias("color")), state)
+    note(ranIterations=k, didConverge=True)
     return state.select(F.col("id").alias("nodeId"), "color")
 
 
 def k_core(view: View) -> DataFrame:
     """(nodeId, coreValue): each node's value is lowered to the largest h such that h neighbours
-    have h or more, until nothing changes. Parallel relationships count each."""
+    have h or more, until nothing changes. Parallel relationships count each.
+
+    Each node keeps how many neighbours have its value or more. A node that falls takes one from
+    those whose values it passes, and only nodes left with too few are counted anew, so a round
+    reads the relationships of nodes that fell or have to, not all."""
     links = cut(view.both_ways().edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")))
-    state = cut(view.ids.join(links.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("v")), "id", "left").select("id", F.coalesce("v", F.lit(0)).cast("long").alias("v")))
-    while True:
-        near = links.join(state.select(F.col("id").alias("dst"), "v"), "dst").join(state.select(F.col("id").alias("src"), F.col("v").alias("own")), "src")
-        # neighbours above a node's own value count as that value; so a histogram is enough
+
+    def counted(who: DataFrame, values: DataFrame) -> DataFrame:
+        """(id, h, support) of nodes (id, v): h, and how many neighbours have h or more. Neighbours
+        above a node's own value count as that value, so a histogram is enough."""
+        near = links.join(who.select(F.col("id").alias("src"), F.col("v").alias("own")), "src").join(values.select(F.col("id").alias("dst"), "v"), "dst")
         held = near.groupBy("src", F.least("v", "own").alias("v")).agg(F.sum("n").alias("n"))
-        above = F.sum("n").over(W.partitionBy("src").orderBy(F.desc("v")))
-        h = held.withColumn("above", above).groupBy(F.col("src").alias("id")).agg(F.max(F.least("v", "above")).alias("h"))
-        new = cut(state.join(h, "id", "left").select("id", F.least("v", F.coalesce("h", F.lit(0))).alias("v"), (F.coalesce("h", F.lit(0)) < F.col("v")).alias("moved")))
-        state = new.drop("moved")
-        if is_empty(new.filter("moved")):
+        above = held.withColumn("above", F.sum("n").over(W.partitionBy("src").orderBy(F.desc("v"))))
+        # with values falling, min(v, above) rises and then falls; the support of h is the count at the last value of h or more
+        h = above.withColumn("h", F.max(F.least("v", "above")).over(W.partitionBy("src")))
+        return h.groupBy(F.col("src").alias("id")).agg(F.max("h").alias("h"), F.max(F.when(F.col("v") >= F.col("h"), F.col("above"))).alias("support"))
+
+    start = view.ids.join(links.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("v")), "id", "left").select("id", F.coalesce("v", F.lit(0)).cast("long").alias("v"))
+    start = cut(start)
+    first = counted(start, start)
+    state = cut(start.join(first, "id", "left").select("id", F.coalesce("h", F.lit(0)).alias("v"), F.coalesce("support", F.lit(0)).alias("support"), F.col("v").alias("old")))
+    while True:
+        fell = state.filter("v < old").select(F.col("id").alias("src"), F.col("old").alias("o"), F.col("v").alias("to"))
+        if is_empty(fell):
             return state.select(F.col("id").alias("nodeId"), F.col("v").alias("coreValue"))
+        lost = links.join(fell, "src").join(state.select(F.col("id").alias("dst"), "v"), "dst").filter("v > to AND v <= o").groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("n"))
+        state = cut(state.join(lost, "id", "left").select("id", "v", (F.col("support") - F.coalesce("n", F.lit(0))).alias("support")), state)
+        anew = counted(state.filter("support < v"), state)
+        # a node none of whose neighbours is left has 0
+        few = F.col("support") < F.col("v")
+        state = cut(state.join(anew.withColumnRenamed("support", "s"), "id", "left").select("id", F.when(few, F.coalesce("h", F.lit(0))).otherwise(F.col("v")).alias("v"), F.when(few, F.coalesce("s", F.lit(0))).otherwise(F.col("support")).alias("support"), F.col("v").alias("old")), state)
 
 
 def _oriented(view: View, max_degree: int | None = None) -> DataFrame:
@@ -397,6 +440,7 @@ def kmeans(view: View, node_property: str, k: int = 10, max_iterations: int = 10
         state = new
         if swaps <= math.floor(n * delta_threshold):
             break
+    note(centroids=centres)
     silhouette = F.lit(-1.0)
     if compute_silhouette and n:
         dims = range(len(centres[0]))
@@ -430,6 +474,7 @@ def approx_max_k_cut(view: View, k: int = 2, iterations: int = 8, random_seed: i
         now = cost(state)
         if now * sign > best_cost * sign:
             best, best_cost = state, now
+    note(cutCost=best_cost / 2)
     return best.select(F.col("id").alias("nodeId"), F.col("c").alias("communityId"))
 
 
@@ -443,6 +488,7 @@ def sllpa(view: View, max_iterations: int = 10, min_association_strength: float
         said = links.join(state.select(F.col("id").alias("dst"), "memory"), "dst").select("src", F.get("memory", F.pmod(F.xxhash64("src", "dst", F.lit(r), F.lit(random_seed)), F.size("memory")).cast("int")).alias("label"))
         heard = said.groupBy("src", "label").agg(F.count("*").alias("n")).groupBy(F.col("src").alias("id")).agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("b"))
         state = cut(state.join(heard, "id", "left").select("id", F.concat("memory", F.array(F.coalesce(-F.col("b.neg"), "id"))).alias("memory")))
+    note(ranIterations=max_iterations, didConverge=False)
     counts = state.select("id", F.size("memory").alias("all"), F.explode("memory").alias("label")).groupBy("id", "all", "label").agg(F.count("*").alias("n"))
     kept = counts.filter(F.col("n") > F.col("all") * min_association_strength).groupBy("id").agg(F.array_sort(F.collect_list("label")).alias("values"))
     return view.ids.join(kept, "id", "left").select(F.col("id").alias("nodeId"), F.coalesce("values", F.array().cast("array<long>")).alias("values"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein.graph import View
-from skein.plans.iterate import cut, is_empty
+from skein.plans.iterate import cut, is_empty, note
 
 
 def _frame(view: View, ids, name: str = "id") -> DataFrame:
@@ -35,27 +36,47 @@ def bfs_levels(view: View, sources: DataFrame, max_depth: int | None = None) ->
     return seen
 
 
-def shortest_distances(view: View, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def shortest_distances(view: View, sources: DataFrame, max_rounds: int | None = None, delta: float | None = None) -> DataFrame:
     """(source, node, cost, parent, hops) by rounds of relaxation from the nodes whose distance
-    fell; of predecessors that give the same distance in a round the smallest."""
+    fell; of predecessors that give the same distance in a round the smallest. With delta, only
+    those within delta of the least such distance are relaxed, the others wait: more rounds, in
+    which fewer nodes are relaxed before their distance is final."""
     links = cut(view.edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    best = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hops")))
-    frontier, k = best, 0
+    state = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
+    k = 0
     while max_rounds is None or k < max_rounds:
         k += 1
-        step = frontier.select("source", F.col("node").alias("src"), "cost").join(links, "src")
+        now = F.col("fresh")
+        if delta is not None:
+            least = state.filter("fresh").agg(F.min("cost")).first()[0]
+            if least is None:
+                break
+            now = now & (F.col("cost") <= least + delta)
+        step = state.filter(now).select("source", F.col("node").alias("src"), "cost").join(links, "src")
         offer = step.groupBy("source", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("weight")).alias("c"), F.col("src").alias("p"))).alias("o"))
-        new = offer.join(best.select("source", "node", F.col("cost").alias("old")), ["source", "node"], "left").filter("old IS NULL OR o.c < old")
-        new = cut(new.select("source", "node", F.col("o.c").alias("cost"), F.col("o.p").alias("parent"), F.lit(k).alias("hops")))
-        if is_empty(new):
+        both = state.withColumn("now", now).join(offer, ["source", "node"], "full")
+        less = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.c") < F.col("cost")))
+        pick = lambda new, old: F.when(less, new).otherwise(F.col(old)).alias(old)
+        waits = less | (F.col("fresh") & ~F.coalesce("now", F.lit(False)))
+        state = cut(both.select("source", "node", pick(F.col("o.c"), "cost"), pick(F.col("o.p"), "parent"), pick(F.lit(k), "hops"), F.coalesce(waits, F.lit(False)).alias("fresh")), state)
+        if is_empty(state.filter("fresh")):
             break
-        best, frontier = cut(best.join(new, ["source", "node"], "left_anti").unionByName(new)), new
-    return best
-
-
-def with_paths(tree: DataFrame, targets: DataFrame) -> DataFrame:
-    """The (source, node) rows of targets with nodeIds and costs from the source to the node,
-    following parents back, all paths a step at a time."""
+    return state.drop("fresh")
+
+
+def with_paths(tree: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """The (source, node) rows of targets with nodeIds and costs from the source to the node. For
+    targets, a path's parents are followed back a step a round; without any named, all nodes'
+    paths are built at once, each round joined with the path of the node where it begins, so
+    that rounds are the logarithm of the longest path."""
+    if targets is None:
+        rows = cut(tree.select("source", "node", F.col("cost").alias("totalCost"), F.col("parent").alias("at"), F.array("node").alias("nodeIds"), F.array("cost").alias("costs")))
+        while not is_empty(rows.filter("at IS NOT NULL")):
+            up = rows.select("source", F.col("node").alias("at"), F.col("at").alias("from"), F.col("nodeIds").alias("n"), F.col("costs").alias("c"))
+            met = rows.filter("at IS NOT NULL").join(up, ["source", "at"])
+            met = met.select("source", "node", "totalCost", F.col("from").alias("at"), F.concat("n", "nodeIds").alias("nodeIds"), F.concat("c", "costs").alias("costs"))
+            rows = cut(rows.filter("at IS NULL").unionByName(met), rows)
+        return rows.drop("at")
     up = cut(tree.select("source", F.col("node").alias("at"), F.col("cost").alias("c"), F.col("parent").alias("p")))
     rows = targets.select("source", "node").join(tree.select("source", "node", "cost"), ["source", "node"])
     rows = rows.select("source", "node", F.col("cost").alias("totalCost"), F.col("node").alias("at"), F.array().cast("array<long>").alias("nodeIds"), F.array().cast("array<double>").alias("costs"))
@@ -86,13 +107,14 @@ def dijkstra(view: View, source_node: int, target_nodes=None) -> DataFrame:
     """Cheapest paths from the source to the targets, or to all nodes it reaches:
     (index, sourceNode, targetNode, totalCost, nodeIds, costs)."""
     tree = shortest_distances(_checked(view), _frame(view, source_node))
-    targets = tree if target_nodes is None else tree.join(_frame(view, target_nodes, "node"), "node", "left_semi")
-    return _as_paths(with_paths(tree, targets))
+    return _as_paths(with_paths(tree, None if target_nodes is None else tree.join(_frame(view, target_nodes, "node"), "node", "left_semi")))
 
 
 def delta_stepping(view: View, source_node: int, delta: float = 2.0) -> DataFrame:
-    """As dijkstra() from one source; delta, how far a round reaches, has no bearing on results."""
-    return dijkstra(view, source_node)
+    """As dijkstra() from one source, relaxing only nodes within delta of the nearest open one."""
+    if delta <= 0:
+        raise ValueError("delta must be above 0")
+    return _as_paths(with_paths(shortest_distances(_checked(view), _frame(view, source_node), delta=delta)))
 
 
 def a_star(view: View, source_node: int, target_node: int, latitude_property: str = "latitude", longitude_property: str = "longitude") -> DataFrame:
@@ -124,11 +146,18 @@ def bellman_ford(view: View, source_node: int) -> tuple[DataFrame, bool]:
     n = view.nodes.count()
     tree = shortest_distances(view, _frame(view, source_node), n)
     negative = not is_empty(tree.filter(F.col("hops") >= n))
-    return _as_paths(with_paths(tree.limit(0) if negative else tree, tree.limit(0) if negative else tree)), negative
+    return _as_paths(with_paths(tree.limit(0) if negative else tree)), negative
 
 
 def bellman_ford_paths(view: View, source_node: int) -> DataFrame:
-    return bellman_ford(view, source_node)[0]
+    """The paths of bellman_ford() with isNegativeCycle false; if the source reaches a negative
+    cycle, one row without a path on which it is true."""
+    found, negative = bellman_ford(view, source_node)
+    note(containsNegativeCycle=negative)
+    if not negative:
+        return found.withColumn("isNegativeCycle", F.lit(False))
+    row = [(None, source_node, None, None, None, None, True)]
+    return view.nodes.sparkSession.createDataFrame(row, "index long, sourceNode long, targetNode long, totalCost double, nodeIds array<long>, costs array<double>, isNegativeCycle boolean")
 
 
 def all_pairs(view: View) -> DataFrame:
@@ -315,41 +344,38 @@ def dag_longest_path(view: View) -> DataFrame:
         done = ended if done is None else done.unionByName(ended)
         rows = rows.filter("parent IS NOT NULL").drop("at").withColumnRenamed("parent", "at")
         if is_empty(rows):
-                    return done.withColumn("index", (F.row_number().over(W.partitionBy("sourceNode").orderBy("targetNode")) - 1).cast("long")).select("index", "sourceNode", "targetNode", "totalCost", "nodeIds", "costs")
+            return done.withColumn("index", (F.row_number().over(W.partitionBy("sourceNode").orderBy("targetNode")) - 1).cast("long")).select("index", "sourceNode", "targetNode", "totalCost", "nodeIds", "costs")
 
 
 def spanning_forest(view: View, maximum: bool = False) -> DataFrame:
     """(src, dst, weight) of a lightest (heaviest) spanning forest: rounds in which each part takes
-    its best edge to another part; edges are ordered by (weight, smaller end, larger end)."""
+    its best edge to another part; edges are ordered by (weight, smaller end, larger end). Parts
+    then become nodes, and of edges between the same two only the best stays, so rounds are the
+    logarithm of the nodes and edges shrink from round to round."""
     sign = -1.0 if maximum else 1.0
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
-    edges = cut(view.edges.filter("src <> dst").groupBy(a.alias("a"), b.alias("b")).agg(F.min(F.col("weight") * sign).alias("w")))
-    label = cut(view.ids.withColumn("part", F.col("id")))
-    tree = None
-    while True:
-        open_ = edges.join(label.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(label.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b").filter("pa <> pb")
-        open_ = cut(open_)
-        if is_empty(open_):
-            break
-        ends = [open_.select(F.col(x).alias("part"), F.col(y).alias("other"), "w", "a", "b") for x, y in (("pa", "pb"), ("pb", "pa"))]
-        best = cut(ends[0].unionByName(ends[1]).groupBy("part").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("part", "e.*"))
-        new = best.select("w", "a", "b").distinct()
-        tree = new if tree is None else cut(tree.unionByName(new))
+    edges = view.edges.filter("src <> dst").groupBy(a.alias("p"), b.alias("q")).agg(F.min(F.col("weight") * sign).alias("w"))
+    edges = cut(edges.select("p", "q", F.struct("w", F.col("p").alias("a"), F.col("q").alias("b")).alias("e")))
+    chosen = []
+    while not is_empty(edges):
+        ends = edges.select("p", "q", "e").unionByName(edges.select(F.col("q").alias("p"), F.col("p").alias("q"), "e"))
+        best = cut(ends.groupBy("p").agg(F.min(F.struct("e", "q")).alias("m")).select("p", F.col("m.q").alias("to"), F.col("m.e").alias("e")))
+        chosen.append(best.select("e").distinct())
         # parts point along their edges; of two that point at each other the smaller is a root
-        back = best.select(F.col("part").alias("other"), F.col("other").alias("back"))
-        root = (F.col("back") == F.col("part")) & (F.col("part") < F.col("other"))
-        to = cut(best.join(back, "other").select("part", F.when(root, F.col("part")).otherwise(F.col("other")).alias("to")))
+        to = best.join(best.select(F.col("p").alias("to"), F.col("to").alias("back")), "to")
+        to = to.select("p", F.when((F.col("back") == F.col("p")) & (F.col("p") < F.col("to")), F.col("p")).otherwise(F.col("to")).alias("to"))
         while True:
-            up = to.select(F.col("part").alias("to"), F.col("to").alias("up"))
-            jumped = cut(to.join(up, "to").select("part", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
+            up = to.select(F.col("p").alias("to"), F.col("to").alias("up"))
+            jumped = cut(to.join(up, "to").select("p", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
             to = jumped.drop("moved")
             if is_empty(jumped.filter("moved")):
                 break
-        label = cut(label.join(to, "part", "left").select("id", F.coalesce("to", "part").alias("part")))
-        edges = open_.select("a", "b", "w")
-    if tree is None:
+        moved = edges.join(to.select("p", F.col("to").alias("x")), "p").join(to.select(F.col("p").alias("q"), F.col("to").alias("y")), "q").filter("x <> y")
+        edges = cut(moved.groupBy(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).agg(F.min("e").alias("e")), edges)
+    if not chosen:
         return view.edges.limit(0).select("src", "dst", "weight")
-    return tree.select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("w") * sign).alias("weight"))
+    tree = reduce(DataFrame.unionByName, chosen)
+    return tree.select(F.col("e.a").alias("src"), F.col("e.b").alias("dst"), (F.col("e.w") * sign).alias("weight"))
 
 
 def spanning_tree(view: View, source_node: int, objective: str = "minimum") -> DataFrame:

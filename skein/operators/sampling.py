@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from skein.graph import Graph, View, within
 from skein.plans.iterate import cut, is_empty
@@ -17,7 +18,8 @@ def _unit(*keys):
 
 def _walk(view: View, ratio: float, restart: float, start_nodes, seed: int, walkers: int, common_aware: bool) -> DataFrame:
     """(id) of the nodes seen. walkers walks step together; each goes back to its start with
-    probability restart. When a round sees nothing new, the walks start elsewhere."""
+    probability restart. When three rounds see nothing new, the walks start at nodes not seen yet,
+    until the goal is reached or all nodes are seen. A large goal has more walkers."""
     links = cut(view.edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).filter("w > 0"))
     if common_aware:
         # a step to a node of few common neighbours and high degree is likelier
@@ -27,10 +29,11 @@ def _walk(view: View, ratio: float, restart: float, start_nodes, seed: int, walk
         both = links.join(shared, ["src", "dst"], "left").join(degree, "src").join(degree.toDF("dst", "dd"), "dst", "left")
         keep = 1 - F.coalesce("c", F.lit(0)) / F.least("d", F.coalesce("dd", F.lit(1)))
         links = cut(both.select("src", "dst", (F.col("w") * F.greatest(keep, F.lit(0.05))).alias("w")))
-    goal = max(1, round(view.nodes.count() * ratio))
+    goal = max(1, int(view.nodes.count() * ratio + 0.5))
     spark = view.nodes.sparkSession
-    seen = None
-    for attempt in range(100):
+    seen, attempt, walkers = None, -1, max(walkers, goal // 8)
+    while True:
+        attempt += 1
         if attempt == 0 and start_nodes:
             start = spark.createDataFrame([(int(i),) for i in start_nodes], "id long")
         else:
@@ -40,6 +43,8 @@ def _walk(view: View, ratio: float, restart: float, start_nodes, seed: int, walk
         if is_empty(walks):
             break
         seen = cut(walks.select(F.col("at").alias("id")) if seen is None else seen.unionByName(walks.select(F.col("at").alias("id"))).distinct())
+        if seen.count() >= goal:
+            return seen.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(goal)
         idle, k = 0, 0
         while idle < 3:
             k += 1
@@ -57,15 +62,32 @@ def _walk(view: View, ratio: float, restart: float, start_nodes, seed: int, walk
     return seen if seen is not None else view.ids.limit(0)
 
 
+def _stratified(nodes: DataFrame, seen: DataFrame, ratio: float, seed: int) -> DataFrame:
+    """Of each combination of labels its share of nodes. Counts by hash bucket tell which buckets
+    are taken; only the one in which the share ends is ordered."""
+    kind = F.array_join(F.array_sort("labels"), "\n").alias("kind")
+    known = nodes.select("nodeId", kind).join(seen.select(F.col("id").alias("nodeId"), F.lit(0).alias("walked")), "nodeId", "left")
+    bucket = F.coalesce("walked", F.lit(1)) * 65536 + F.pmod(F.xxhash64("nodeId", F.lit(seed)), F.lit(65536))
+    known = cut(known.select("nodeId", "kind", bucket.alias("bucket")))
+    counts = known.groupBy("kind", "bucket").agg(F.count("*").alias("n"))
+    share = known.groupBy("kind").agg(F.round(F.count("*") * ratio).cast("long").alias("share"))
+    before = F.sum("n").over(W.partitionBy("kind").orderBy("bucket")) - F.col("n")
+    taken = cut(counts.withColumn("before", before).join(share, "kind").filter("before < share").select("kind", "bucket", (F.col("share") - F.col("before")).alias("left"), "n"))
+    kept = known.join(taken, ["kind", "bucket"])
+    part = kept.filter("n > left").withColumn("k", F.row_number().over(W.partitionBy("kind", "bucket").orderBy("nodeId"))).filter("k <= left")
+    ids = kept.filter("n <= left").select("nodeId").unionByName(part.select("nodeId"))
+    return nodes.join(ids, "nodeId", "left_semi")
+
+
 def sample(graph: Graph, sampling_ratio: float = 0.15, restart_probability: float = 0.1, node_label_stratification: bool = False, start_nodes=(), random_seed: int = 0, weight: str | None = None, walkers: int = 256, common_aware: bool = False) -> Graph:
-    """The subgraph of about sampling_ratio of the nodes, found by walks. With stratification each
-    combination of labels is filled up to its own share, by a seeded hash."""
+    """The subgraph of sampling_ratio of the nodes, found by walks. With stratification each
+    combination of labels has its own share: of its nodes that were walked on first, then of others,
+    each in the order of a seeded hash."""
     view = graph.view(weight=weight)
     seen = _walk(view, sampling_ratio, restart_probability, start_nodes, random_seed, walkers, common_aware)
     nodes = graph.nodes.join(seen.withColumnRenamed("id", "nodeId"), "nodeId", "left_semi")
     if node_label_stratification:
-        share = _unit("nodeId", F.lit(random_seed)) < sampling_ratio
-        nodes = graph.nodes.join(nodes.select("nodeId").withColumn("__seen", F.lit(True)), "nodeId", "left").filter(share).drop("__seen")
+        nodes = _stratified(graph.nodes, seen, sampling_ratio, random_seed)
     nodes = cut(nodes)
     return replace(graph, nodes=nodes, rels=within(graph.rels, nodes))
 

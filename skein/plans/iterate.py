@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +16,62 @@ from pyspark.sql import functions as F
 EVERY = 4
 
 
-def _ensure_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-checkpoints-"))
+_local_dir: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the checkpoint folder, which all executors share."""
-    _ensure_dir(df.sparkSession)
-    return df.checkpoint()
+def _folder(spark: SparkSession) -> str:
+    """This session's folder in the one that driver and executors share: spark.checkpoint.dir, or
+    one of its own in a session within one process, as in tests."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _local_dir:
+            _local_dir.append(tempfile.mkdtemp(prefix="skein-"))
+        root = f"file://{_local_dir[0]}"
+    return f"{root.rstrip('/')}/skein-{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """df computed once and stored in the checkpoint folder, which all executors share: a table, so
+    plans start anew and neither lineage nor what the optimizer knows of earlier rounds grows.
+    instead_of is what an earlier cut() returned and nothing needs any more; it is deleted."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if instead_of is not None:
+        delete(spark, instead_of.skein_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.skein_path = path
+    return out
+
+
+_notes: ContextVar[dict | None] = ContextVar("notes", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[dict]:
+    """Collects what operators note() while they run."""
+    found: dict = {}
+    token = _notes.set(found)
+    try:
+        yield found
+    finally:
+        _notes.reset(token)
+
+
+def note(**facts) -> None:
+    """What a loop knows besides its result: rounds run, whether it converged, and the like."""
+    found = _notes.get()
+    if found is not None:
+        found.update(facts)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -49,6 +99,8 @@ def pregel(
     max_iterations: int,
     send_if: Column | None = None,
     to_incoming: bool = False,
+    targets: Column | None = None,
+    master: Callable[[DataFrame, int], bool] | None = None,
 ) -> DataFrame:
     """A synchronous vertex program on DataFrames.
 
@@ -58,19 +110,29 @@ def pregel(
     combined by `reducer("message")`, as sum, min, max, count or collect_list; then each
     column of `update` is computed over the state, `message` (null if none came) and
     `superstep`. It ends when no node satisfies `send_if`, or after max_iterations supersteps.
+    With targets, an array of ids over the sender's state, messages go to these nodes and not
+    along edges. master sees the state after each superstep and ends the program by True.
     """
     state = nodes.select("*", *(c.alias(n) for n, c in init.items()))
     out, into = ("dst", "src") if to_incoming else ("src", "dst")
+    stored = None
     links = cut(edges.select(F.col(out).alias("__from"), F.col(into).alias("__to"), "weight"))
     for k in range(max_iterations):
         senders = state if send_if is None else state.filter(send_if)
         if k % EVERY == EVERY - 1:
-            state = cut(state)
+            state = stored = cut(state, stored)
             senders = state if send_if is None else state.filter(send_if)
             if is_empty(senders):
                 break
-        sent = senders.join(links, senders["id"] == links["__from"]).select("__to", message.alias("message"))
+        if targets is None:
+            sent = senders.join(links, senders["id"] == links["__from"]).select("__to", message.alias("message"))
+        else:
+            sent = senders.select(F.explode(targets).alias("__to"), message.alias("message"))
         inbox = sent.groupBy("__to").agg(reducer("message").alias("message"))
         joined = state.join(inbox, state["id"] == inbox["__to"], "left").withColumn("superstep", F.lit(k))
         state = joined.select(*(update[c].alias(c) if c in update else F.col(c) for c in state.columns))
+        if master is not None:
+            state = stored = cut(state, stored)
+            if master(state, k):
+                break
     return state

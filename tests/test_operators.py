@@ -301,6 +301,69 @@ def test_metrics(spark):
     assert ml.auc_pr(spark.createDataFrame([(0.0, 0.9)], "label double, probability double")) == 0.0
 
 
+@pytest.mark.parametrize("maximum", [False, True])
+def test_spanning_forest_with_cycles(spark, maximum):
+    """Against a greedy choice of edges in the order of weight and ends, ties and all."""
+    rng = random.Random(5)
+    edges = list({(min(e), max(e)): (*e, rng.randint(1, 6)) for e in (rng.sample(range(60), 2) for _ in range(170))}.values()) + [(70, 71, 2), (71, 72, 2), (70, 72, 2)]
+    up = {x: x for e in edges for x in e[:2]}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    want = set()
+    for w, a, b in sorted(((-w if maximum else w), min(a, b), max(a, b)) for a, b, w in edges):
+        if root(a) != root(b):
+            up[root(a)] = root(b)
+            want.add((a, b, abs(w)))
+    got = paths.spanning_forest(view_of(spark, edges, undirected=True), maximum)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_k_core_random(spark):
+    rng = random.Random(9)
+    edges = [tuple(rng.sample(range(50), 2)) for _ in range(190)]
+    near = defaultdict(list)
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    want, left, k = {}, dict(near), 0
+    while left:
+        low = [n for n in left if sum(m in left for m in near[n]) <= k]
+        if low:
+            for n in low:
+                want[n] = k
+                del left[n]
+        else:
+            k += 1
+    assert values(community.k_core(view_of(spark, edges, 50, True))) == want | {n: 0 for n in range(50) if n not in near}
+
+
+def test_pregel_targets_and_master(spark):
+    v = view_of(spark, [(0, 1), (1, 2), (2, 3)])
+    # everyone tells node 3 directly; the master stops after the second superstep
+    ends = []
+    out = pregel(v.ids, v.edges, {"n": F.lit(0).cast("long")}, F.lit(1).cast("long"), F.count, {"n": F.col("n") + F.coalesce("message", F.lit(0))}, 10, targets=F.array(F.lit(3).cast("long")), master=lambda state, k: bool(ends.append(state.count()) or k == 1))
+    assert values(out.select("id", "n"), "id") == {0: 0, 1: 0, 2: 0, 3: 8} and ends == [4, 4]
+
+
+def test_negatives_when_few_are_left(spark):
+    v = view_of(spark, [(a, b) for a in range(6) for b in range(a + 1, 6) if (a, b) not in ((0, 1), (2, 3))], 6)
+    assert {tuple(r) for r in ml.negative_pairs(v, 100, 0).collect()} == {(0, 1), (1, 0), (2, 3), (3, 2)}
+    assert ml.negative_pairs(v, 3, 0).count() == 3
+
+
+def test_samples_of_many_small_components(spark):
+    nodes = spark.createDataFrame([(i, ["A" if i < 300 else "B"]) for i in range(1200)], "nodeId long, labels array<string>")
+    rels = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(600)], "sourceNodeId long, targetNodeId long")
+    g = from_tables(nodes, rels, undirected=("*",))
+    assert sampling.rwr(g, sampling_ratio=0.8, walkers=2).nodes.count() == 960
+    found = sampling.rwr(g, sampling_ratio=0.1, node_label_stratification=True).nodes
+    assert {r[0]: r[1] for r in found.groupBy(F.get("labels", F.lit(0))).count().collect()} == {"A": 30, "B": 90}
+
+
 def test_split_and_samples(spark):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "nodeId long")
     rels = spark.createDataFrame([(i, (i * 7 + 1) % 60) for i in range(60)], "sourceNodeId long, targetNodeId long")
