@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.graph import View
+
 
 def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
@@ -115,28 +117,58 @@ def is_infinite(c: Column | str) -> Column:
 SCALERS = ("NONE", "MINMAX", "MAX", "MEAN", "STDSCORE", "CENTER", "LOG", "L1NORM", "L2NORM")
 
 
-def scale(rows: DataFrame, column: str, scaler: str = "NONE", offset: float = 0.0) -> DataFrame:
-    """column, a number, scaled over all rows; null and NaN are left out of the statistics. The
-    statistics are one aggregated row, joined back."""
+def scalings(rows: DataFrame, columns: list[Column], scaler: str = "NONE", offset: float = 0.0) -> list[Column]:
+    """Each column, a number, scaled over all rows; null and NaN are left out of the statistics,
+    which are one aggregated row for all columns."""
     scaler = scaler.upper()
     if scaler not in SCALERS:
         raise ValueError(f"no scaler {scaler}; there are {SCALERS}")
-    x = F.col(f"`{column}`").cast("double")
+    numbers = [c.cast("double") for c in columns]
     if scaler == "NONE":
-        return rows
+        return columns
     if scaler == "LOG":
-        return rows.withColumn(column, F.log(x + offset))
-    good = F.when(F.isnan(x), None).otherwise(x)
-    s = rows.agg(F.min(good).alias("low"), F.max(good).alias("high"), F.avg(good).alias("mean"), F.stddev_pop(good).alias("dev"), F.max(F.abs(good)).alias("most"), F.sum(F.abs(good)).alias("l1"), F.sqrt(F.sum(good * good)).alias("l2")).first()
-    if s["low"] is None:
-        return rows
-    part = {
-        "MINMAX": (x - s["low"], s["high"] - s["low"]),
-        "MAX": (x, s["most"]),
-        "MEAN": (x - s["mean"], s["high"] - s["low"]),
-        "STDSCORE": (x - s["mean"], s["dev"]),
-        "CENTER": (x - s["mean"], 1.0),
-        "L1NORM": (x, s["l1"]),
-        "L2NORM": (x, s["l2"]),
+        return [F.log(x + offset) for x in numbers]
+    good = [F.when(F.isnan(x), None).otherwise(x) for x in numbers]
+    zero = F.lit(0.0)
+    # what is taken off, and what is divided by
+    less = {"MINMAX": F.min, "MEAN": F.avg, "STDSCORE": F.avg, "CENTER": F.avg}.get(scaler, lambda g: F.min(F.when(g.isNotNull(), zero)))
+    by = {
+        "MINMAX": lambda g: F.max(g) - F.min(g),
+        "MAX": lambda g: F.max(F.abs(g)),
+        "MEAN": lambda g: F.max(g) - F.min(g),
+        "STDSCORE": F.stddev_pop,
+        "CENTER": lambda g: F.max(F.when(g.isNotNull(), 1.0)),
+        "L1NORM": lambda g: F.sum(F.abs(g)),
+        "L2NORM": lambda g: F.sqrt(F.sum(g * g)),
     }[scaler]
-    return rows.withColumn(column, F.lit(0.0) if math.isclose(part[1], 0, abs_tol=1e-15) else part[0] / part[1])
+    found = rows.agg(*(f(g) for g in good for f in (less, by))).first()
+    out = []
+    for k, (c, x) in enumerate(zip(columns, numbers)):
+        a, b = found[2 * k], found[2 * k + 1]
+        out.append(c if b is None else zero if math.isclose(b, 0, abs_tol=1e-15) else (x - a) / b)
+    return out
+
+
+def scale(rows: DataFrame, column: str, scaler: str = "NONE", offset: float = 0.0) -> DataFrame:
+    """rows with the column scaled as scalings() does."""
+    [x] = scalings(rows, [F.col(f"`{column}`")], scaler, offset)
+    return rows if scaler.upper() == "NONE" else rows.withColumn(column, x)
+
+
+def scale_properties(view: View, node_properties: list[str] | str, scaler: str = "NONE", offset: float = 0.0) -> DataFrame:
+    """(nodeId, scaledProperty): the properties, numbers or arrays of one length, one after another
+    in an array, each place scaled over all nodes. The scaler is a name, or a map with `type`
+    and, for LOG, `offset`."""
+    if isinstance(scaler, dict):
+        scaler, offset = scaler["type"], scaler.get("offset", offset)
+    names = [node_properties] if isinstance(node_properties, str) else list(node_properties)
+    types = dict(view.nodes.dtypes)
+    wide = [n for n in names if types[n].startswith("array")]
+    sizes = view.nodes.agg(*(F.max(F.size(n)) for n in wide), *(F.min(F.size(n)) for n in wide)).first() if wide else []
+    length = {}
+    for k, n in enumerate(wide):
+        if sizes[k] != sizes[k + len(wide)]:
+            raise ValueError(f"arrays of {n!r} differ in length")
+        length[n] = sizes[k] or 0
+    columns = [x for n in names for x in ([F.get(n, F.lit(j)) for j in range(length[n])] if n in length else [F.col(n)])]
+    return view.nodes.select(F.col("id").alias("nodeId"), F.array(*(c.cast("double") for c in scalings(view.nodes, columns, scaler, offset))).alias("scaledProperty"))

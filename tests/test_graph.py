@@ -122,7 +122,7 @@ def test_modes(spark, people, tmp_path):
     engine.graphs.put("g", people)
     assert engine.call("degree.stream", "g", {"relationshipWeightProperty": "w"}).count() == 3
     stats = engine.call("wcc.stats", "g")
-    assert stats["communityCount"] == 1
+    assert stats["componentCount"] == 1 and stats["componentDistribution"]["max"] == 3
     engine.call("degree.mutate", "g", {"mutateProperty": "deg", "concurrency": 4})
     assert "deg" in engine.graphs.get("g").node_properties
     with pytest.raises(ValueError):
@@ -177,6 +177,94 @@ def test_streaming_components(spark, tmp_path):
     assert rows(parts.labels) == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7)]
 
 
+def test_streaming_components_restart(spark, tmp_path):
+    """Another object over the same folders goes on, a batch that runs again changes nothing, and
+    old versions go."""
+    from skein.streaming.incremental import StreamedComponents
+
+    batches = [[(1, 2), (3, 4)], [(2, 3)], [(7, 8)], [(8, 1)]]
+    for k, pairs in enumerate(batches):
+        batch = spark.createDataFrame(pairs, "sourceNodeId long, targetNodeId long")
+        for _ in range(2):
+            StreamedComponents(spark, f"file://{tmp_path}/labels").update(batch, k)
+    assert rows(StreamedComponents(spark, f"file://{tmp_path}/labels").labels) == [(i, 1) for i in (1, 2, 3, 4, 7, 8)]
+    assert sorted(p.name for p in (tmp_path / "labels").iterdir()) == ["2", "3"]
+
+
+def test_stats(spark, people):
+    engine = Engine(spark)
+    engine.graphs.put("g", people)
+    for endpoint, names in {
+        "pageRank": "ranIterations didConverge centralityDistribution",
+        "labelPropagation": "ranIterations didConverge communityCount communityDistribution",
+        "louvain": "modularity modularities ranLevels communityCount",
+        "kcore": "degeneracy",
+        "k1coloring": "colorCount nodeCount ranIterations didConverge",
+        "localClusteringCoefficient": "averageClusteringCoefficient nodeCount",
+        "nodeSimilarity": "nodesCompared similarityPairs similarityDistribution",
+    }.items():
+        found = engine.call(f"{endpoint}.stats", "g")
+        assert not set(names.split()) - set(found), (endpoint, found)
+        assert {"computeMillis", "postProcessingMillis", "configuration"} <= set(found)
+    tree = engine.call("spanningTree.stats", "g", {"sourceNode": 0, "relationshipWeightProperty": "w"})
+    assert (tree["effectiveNodeCount"], tree["totalWeight"]) == (3, 6.0)
+    engine.call("wcc.mutate", "g", {"mutateProperty": "part"})
+    found = engine.call("modularity.stats", "g", {"communityProperty": "part"})
+    assert found["communityCount"] == 1 and found["modularity"] == 0.0 and found["relationshipCount"] == 4
+    assert rows(engine.call("conductance.stream", "g", {"communityProperty": "part"})) == [(0, 0.0)]
+
+
+def test_negative_cycle_flag(spark):
+    engine = Engine(spark)
+    nodes = spark.createDataFrame([(i,) for i in range(3)], "nodeId long")
+    engine.project("n", nodes, spark.createDataFrame([(0, 1, 1.0), (1, 2, -3.0), (2, 1, 1.0)], "sourceNodeId long, targetNodeId long, w double"))
+    config = {"sourceNode": 0, "relationshipWeightProperty": "w"}
+    assert engine.call("bellmanFord.stats", "n", config)["containsNegativeCycle"] is True
+    assert [r["isNegativeCycle"] for r in engine.call("bellmanFord.stream", "n", config).collect()] == [True]
+
+
+def test_procedures(spark, people):
+    engine = Engine(spark)
+    engine.graphs.put("g", people)
+    assert engine.call("graph.exists", "g") and not engine.call("graph.exists", "h")
+    assert engine.call("util.nodeProperty", "g", {"nodeId": 1, "propertyKey": "age"}) == 50
+    assert engine.call("util.nodeProperty", "g", {"nodeId": 1, "propertyKey": "age", "nodeLabel": "Item"}) is None
+    assert engine.call("util.asNode", "g", {"nodeId": 0})["labels"] == ["Person"] and engine.call("util.asNode", "g", {"nodeId": 77}) is None
+    assert engine.as_nodes("g", spark.createDataFrame([(1,), (5,)], "nodeId long")).filter("age IS NULL").count() == 1
+    engine.graph_property_mutate("g", "sizes", [3, 4])
+    assert rows(engine.call("graph.graphProperty.stream", "g", {"graphProperty": "sizes"})) == [(3,), (4,)]
+    engine.call("graph.graphProperty.drop", "g", {"graphProperty": "sizes"})
+    with pytest.raises(KeyError):
+        engine.call("graph.graphProperty.stream", "g", {"graphProperty": "sizes"})
+    engine.call("graph.nodeProperties.drop", "g", {"nodeProperties": ["score"]})
+    assert engine.graphs.get("g").node_properties == ["age"]
+    engine.call("graph.relationships.drop", "g", {"relationshipType": "OWNS"})
+    assert engine.graphs.get("g").types() == ["KNOWS"]
+    assert engine.call("graph.sizeOf", "g")["bytes"] > 0 and engine.call("memory.list").count() == 1
+    assert engine.call("memory.summary")["executorMemory"] > 0
+    assert set(engine.call("graph.list").columns) >= {"graphName", "schema", "memoryInBytes", "degreeDistribution"}
+    engine.call("graph.drop", "g")
+    assert not engine.call("graph.exists", "g")
+
+
+def test_scaled_arrays(spark):
+    from skein.graph import View
+
+    nodes = spark.createDataFrame([(0, [0.0, 5.0], 1), (1, [2.0, 5.0], 3), (2, [4.0, 5.0], None)], "id long, x array<double>, y int")
+    view = View(nodes, spark.createDataFrame([], "src long, dst long, weight double"))
+    got = {r[0]: r[1] for r in vec.scale_properties(view, ["x", "y"], "MINMAX").collect()}
+    assert got == {0: [0.0, 0.0, 0.0], 1: [0.5, 0.0, 1.0], 2: [1.0, 0.0, None]}
+    with pytest.raises(ValueError):
+        vec.scale_properties(View(nodes.withColumn("x", F.slice("x", F.lit(1), (F.col("id") + 1).cast("int"))), view.edges), "x")
+
+
+def test_numbered(spark):
+    from skein.engine import numbered
+
+    got = rows(numbered(spark.range(0, 3000, 3).select((F.col("id") * 7).alias("c")), "c").select("c", "__d"))
+    assert got == [(21 * i, i) for i in range(1000)]
+
+
 def test_graph_type(people):
     assert isinstance(people.without_node_properties("age").without_relationships("OWNS"), Graph)
     assert people.summary().first()["relationshipCount"] == 4
