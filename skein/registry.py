@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.engine import Engine
 from skein.functions import vectors as vec
 from skein.operators import centrality, community, embeddings, ml, paths, sampling, similarity
 from skein.plans.example_graphs import CHAIN_SQL, PLACES_SQL, PURCHASES_SQL, chain, places, purchases, table, vectors
-from skein.plans.iterate import pregel
+from skein.plans.iterate import cut, pregel
 from skein.sources.export import stream_node_properties, stream_relationship_properties
 from skein.sources.project import filter_graph, from_edges, from_store, generate
 
@@ -237,6 +238,53 @@ def indirect_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(centrality.indirect_exposure(view, view.ids.filter("id % 4 = 0")), "exposure")
 
 
+# ---- stats --------------------------------------------------------------------------------------
+
+
+def _stats(spark: SparkSession, graph, endpoint: str, config: dict, *names: str) -> DataFrame:
+    """One row of an endpoint's stats."""
+    engine = Engine(spark)
+    engine.graphs.put("g", graph)
+    found = engine.call(f"{endpoint}.stats", "g", config)
+    kinds = {bool: "boolean", int: "long", float: "double"}
+    values = [round(found[n], 6) if isinstance(found[n], float) else found[n] for n in names]
+    return spark.createDataFrame([tuple(values)], ", ".join(f"{n} {kinds[type(v)]}" for n, v in zip(names, values)))
+
+
+@query(f"""WITH {PLACES_SQL} SELECT count(*) AS "componentCount" FROM nodes WHERE id % 4 = 0""")
+def wcc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, places(spark, sf_dir), "wcc", {}, "componentCount")
+
+
+@query(f"""WITH {CHAIN_SQL}, e AS (SELECT * FROM near WHERE src < dst) SELECT count(*) AS "globalTriangleCount", (SELECT count(*) FROM nodes) AS "nodeCount" FROM e AS x JOIN e AS y ON y.src = x.dst JOIN e AS z ON z.src = x.src AND z.dst = y.dst""")
+def triangle_count_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, chain(spark, sf_dir, True), "triangleCount", {}, "globalTriangleCount", "nodeCount")
+
+
+@query("""SELECT FALSE AS "containsNegativeCycle" """)
+def bellman_ford_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, chain(spark, sf_dir), "bellmanFord", {"sourceNode": _least_part(spark, sf_dir), "relationshipWeightProperty": "quantity"}, "containsNegativeCycle")
+
+
+@query(f"""WITH {CHAIN_SQL}, t AS (SELECT sum(w) AS t FROM both_ways), k AS (SELECT p_size AS c, sum(w) AS k FROM both_ways JOIN nodes ON id = src GROUP BY p_size),
+i AS (SELECT a.p_size AS c, sum(w) AS e FROM both_ways JOIN nodes AS a ON a.id = src JOIN nodes AS b ON b.id = dst WHERE a.p_size = b.p_size GROUP BY a.p_size)
+SELECT round(sum((coalesce(e, 0) - k * k / t) / t), 6) AS modularity, (SELECT count(DISTINCT p_size) FROM nodes) AS "communityCount", (SELECT count(*) FROM both_ways) AS "relationshipCount" FROM k LEFT JOIN i USING (c), t""")
+def modularity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, chain(spark, sf_dir, True), "modularity", {"communityProperty": "p_size", "relationshipWeightProperty": "quantity"}, "modularity", "communityCount", "relationshipCount")
+
+
+@query(f"""WITH {PLACES_SQL} SELECT (SELECT count(*) FROM nodes) AS "nodeCount", TRUE AS good""")
+def louvain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stats' modularity is that of the communities which stream gives."""
+    graph = places(spark, sf_dir, True)
+    engine = Engine(spark)
+    engine.graphs.put("g", graph)
+    found = engine.call("louvain.stats", "g")
+    q = community.modularity(graph.view(), engine.call("louvain.stream", "g")).agg(F.sum("modularity")).first()[0]
+    good = abs(q - found["modularity"]) < 1e-9 and found["modularities"][-1] == found["modularity"] and found["ranLevels"] == len(found["modularities"])
+    return spark.createDataFrame([(found["nodeCount"], good)], "nodeCount long, good boolean")
+
+
 # ---- community ---------------------------------------------------------------------------------
 
 
@@ -253,7 +301,11 @@ def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.scc(places(spark, sf_dir).view())
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHAIN_SQL}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM chain WHERE src <> dst), hub AS (SELECT src AS id FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
+f AS (SELECT id FROM hub UNION SELECT e.dst FROM f JOIN e ON e.src = f.id), b AS (SELECT id FROM hub UNION SELECT e.src FROM b JOIN e ON e.dst = b.id),
+core AS (SELECT id FROM f INTERSECT SELECT id FROM b), rest AS MATERIALIZED (SELECT src, dst FROM e WHERE src NOT IN (SELECT id FROM core) AND dst NOT IN (SELECT id FROM core)),
+r AS (SELECT src AS id, dst AS other FROM rest UNION SELECT r.id, rest.dst FROM r JOIN rest ON rest.src = r.other)
+SELECT id AS "nodeId", CASE WHEN id IN (SELECT id FROM core) THEN (SELECT min(id) FROM core) ELSE least(id, coalesce((SELECT min(x.other) FROM r AS x JOIN r AS y ON y.id = x.other AND y.other = x.id WHERE x.id = nodes.id), id)) END AS "componentId" FROM nodes""")
 def scc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.scc(chain(spark, sf_dir).view())
 
@@ -304,16 +356,65 @@ def local_clustering_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(community.local_clustering_coefficient(chain(spark, sf_dir, True).view()), "localClusteringCoefficient")
 
 
-@query()
+def _cores(rounds: int = 45) -> str:
+    steps = [f"WITH {CHAIN_SQL}, l AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM both_ways WHERE src <> dst GROUP BY src, dst), s0 AS MATERIALIZED (SELECT id, coalesce((SELECT sum(n) FROM l WHERE src = id), 0) AS v FROM nodes)"]
+    for k in range(1, rounds + 1):
+        near = f"SELECT l.src, s.v, sum(l.n) AS n FROM l JOIN s{k - 1} AS s ON s.id = l.dst GROUP BY l.src, s.v"
+        steps.append(f"s{k} AS MATERIALIZED (SELECT s.id, least(s.v, coalesce(h.h, 0)) AS v FROM s{k - 1} AS s LEFT JOIN (SELECT src, max(least(v, above)) AS h FROM (SELECT src, v, sum(n) OVER (PARTITION BY src ORDER BY v DESC) AS above FROM ({near})) GROUP BY src) AS h ON h.src = s.id)")
+    return ",\n".join(steps) + f"\nSELECT id AS \"nodeId\", CAST(v AS BIGINT) AS \"coreValue\" FROM s{rounds}"
+
+
+@query(_cores())
 def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.k_core(chain(spark, sf_dir, True).view())
 
 
+@query(f"""WITH {CHAIN_SQL} SELECT id AS "nodeId", TRUE AS coloured, CAST(0 AS BIGINT) AS clashes, TRUE AS few FROM nodes""")
+def k1_coloring_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each node whether it has a colour, how many neighbours have the same one, and whether
+    the colour is at most the number of neighbours."""
+    view = chain(spark, sf_dir, True).view()
+    found = community.k1_coloring(view).select(F.col("nodeId").alias("id"), "color")
+    links = view.neighbours().join(found.toDF("src", "a"), "src").join(found.toDF("dst", "b"), "dst")
+    near = links.groupBy("src").agg(F.count("*").alias("degree"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("clashes"))
+    out = found.join(near, F.col("id") == F.col("src"), "left")
+    return out.select(F.col("id").alias("nodeId"), F.col("color").isNotNull().alias("coloured"), F.coalesce("clashes", F.lit(0)).cast("long").alias("clashes"), (F.col("color") <= F.coalesce("degree", F.lit(0))).alias("few"))
+
+
 @query()
 def k1_coloring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.k1_coloring(chain(spark, sf_dir, True).view())
 
 
+#: Facts that a good partition of the places has: its modularity is at least that of one community
+#: a nation, and all of a community hangs together.
+_PARTITION_SQL = f"""WITH {PLACES_SQL} SELECT count(*) AS nodes, TRUE AS good, CAST(0 AS BIGINT) AS apart FROM nodes"""
+
+
+def _partition_facts(spark: SparkSession, sf_dir: str, find: Callable) -> DataFrame:
+    view = places(spark, sf_dir, True).view()
+    found = cut(find(view).select("nodeId", "communityId"))
+    # regions are with one of their nations, all others with their nation or themselves
+    nation = view.edges.filter("dst % 4 = 1 AND src % 4 > 1").select(F.col("src").alias("nodeId"), F.col("dst").alias("communityId"))
+    base = view.ids.select(F.col("id").alias("nodeId")).join(nation, "nodeId", "left").select("nodeId", F.coalesce("communityId", "nodeId").alias("communityId"))
+    q, least = (community.modularity(view, c).agg(F.sum("modularity")).first()[0] for c in (found, base))
+    of = found.select(F.col("nodeId").alias("id"), F.col("communityId").alias("c"))
+    inside = view.edges.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").filter("a = b")
+    parts = view.ids.join(community.contracted_labels(inside.select("src", "dst")), "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+    apart = of.join(parts, "id").groupBy("c").agg(F.countDistinct("part").alias("n")).filter("n > 1").count()
+    return spark.createDataFrame([(found.count(), q >= least - 1e-9, apart)], "nodes long, good boolean, apart long")
+
+
+@query(_PARTITION_SQL)
+def louvain_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _partition_facts(spark, sf_dir, community.louvain)
+
+
+@query(_PARTITION_SQL)
+def leiden_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _partition_facts(spark, sf_dir, community.leiden)
+
+
 @query()
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.louvain(places(spark, sf_dir, True).view())
@@ -329,10 +430,28 @@ def modularity_optimization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.modularity_optimization(places(spark, sf_dir, True).view())
 
 
-@query()
+def _lloyd(rounds: int = 9) -> str:
+    near = "SELECT p.vec_id, p.x, arg_min(c.k, (list_distance(p.x, c.m), c.k)) AS k, min(list_distance(p.x, c.m)) AS d FROM p, c{} AS c GROUP BY p.vec_id, p.x"
+    steps = ["WITH p AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL), c0 AS (SELECT k, list_transform(range(64), lambda i: v) AS m FROM (VALUES (0, -0.1::DOUBLE), (1, 0.0::DOUBLE), (2, 0.1::DOUBLE)) AS t(k, v))"]
+    for r in range(1, rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r - 1)}), m{r} AS (SELECT k, i, avg(v) AS v FROM (SELECT k, unnest(x) AS v, unnest(range(64)) AS i FROM a{r}) GROUP BY k, i), c{r} AS MATERIALIZED (SELECT k, list(v ORDER BY i) AS m FROM m{r} GROUP BY k UNION ALL SELECT k, m FROM c{r - 1} WHERE k NOT IN (SELECT k FROM a{r}))")
+    return ",\n".join(steps) + f"\nSELECT vec_id AS \"nodeId\", CAST(k AS BIGINT) AS \"communityId\", round(d, 6) AS \"distanceFromCentroid\" FROM ({near.format(rounds)})"
+
+
+@query(_lloyd())
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = vectors(spark, sf_dir)
-    return community.kmeans(view, "embedding", 3, seed_centroids=[[x] * 64 for x in (-0.1, 0.0, 0.1)])
+    found = community.kmeans(view, "embedding", 3, delta_threshold=0.0, seed_centroids=[[x] * 64 for x in (-0.1, 0.0, 0.1)])
+    return rounded(found.drop("silhouette"), "distanceFromCentroid")
+
+
+@query(f"""WITH {PLACES_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, CAST(2 AS BIGINT) AS parts, TRUE AS more_than_half""")
+def max_k_cut_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a tree's relationships, all of which can be cut, more than half are."""
+    view = places(spark, sf_dir, True).view()
+    found = community.approx_max_k_cut(view, iterations=3).select(F.col("nodeId").alias("id"), F.col("communityId").alias("c"))
+    apart = view.edges.join(found.toDF("src", "a"), "src").join(found.toDF("dst", "b"), "dst").agg(F.avg((F.col("a") != F.col("b")).cast("int")).alias("share"))
+    return found.agg(F.count("*").alias("nodes"), F.countDistinct("c").alias("parts")).join(F.broadcast(apart)).select("nodes", "parts", (F.col("share") > 0.5).alias("more_than_half"))
 
 
 @query()
@@ -359,19 +478,36 @@ def _least_part(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "part").agg(F.min("p_partkey")).first()[0]
 
 
-@query(_distances())
+def _along(view, found: DataFrame) -> DataFrame:
+    """(targetNode, totalCost, pathCost, ends): what the steps of a path cost in the graph, which is
+    null for a step that is no relationship, and whether it goes from source to target."""
+    found = cut(found)
+    steps = found.select("targetNode", F.explode(F.arrays_zip(F.slice("nodeIds", F.lit(1), F.greatest(F.size("nodeIds") - 1, F.lit(0))).alias("src"), F.slice("nodeIds", 2, F.size("nodeIds")).alias("dst"))).alias("s"))
+    links = view.edges.groupBy("src", "dst").agg(F.min("weight").alias("w"))
+    costs = steps.select("targetNode", "s.src", "s.dst").join(links, ["src", "dst"], "left").groupBy("targetNode").agg(F.sum("w").alias("pathCost"))
+    ends = (F.get("nodeIds", F.lit(0)) == F.col("sourceNode")) & (F.element_at("nodeIds", -1) == F.col("targetNode"))
+    return found.join(costs, "targetNode", "left").select("targetNode", "totalCost", F.coalesce("pathCost", F.lit(0.0)).alias("pathCost"), ends.alias("ends"))
+
+
+_PATHS_SQL = _distances().replace('d AS "totalCost"', 'd AS "totalCost", d AS "pathCost", TRUE AS ends')
+
+
+@query(_PATHS_SQL)
 def dijkstra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.dijkstra(chain(spark, sf_dir).view(weight="quantity"), _least_part(spark, sf_dir)).select("targetNode", "totalCost")
+    view = chain(spark, sf_dir).view(weight="quantity")
+    return _along(view, paths.dijkstra(view, _least_part(spark, sf_dir)))
 
 
-@query(_distances())
+@query(_PATHS_SQL)
 def delta_stepping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.delta_stepping(chain(spark, sf_dir).view(weight="quantity"), _least_part(spark, sf_dir)).select("targetNode", "totalCost")
+    view = chain(spark, sf_dir).view(weight="quantity")
+    return _along(view, paths.delta_stepping(view, _least_part(spark, sf_dir), 25.0))
 
 
-@query(_distances())
+@query(_PATHS_SQL)
 def bellman_ford(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.bellman_ford_paths(chain(spark, sf_dir).view(weight="quantity"), _least_part(spark, sf_dir)).select("targetNode", "totalCost")
+    view = chain(spark, sf_dir).view(weight="quantity")
+    return _along(view, paths.bellman_ford_paths(view, _least_part(spark, sf_dir)))
 
 
 def _hops(rounds: int = 12) -> str:
@@ -409,9 +545,27 @@ def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.spanning_tree(places(spark, sf_dir, True).view(weight="cost"), 0)
 
 
-@query()
+def _forest_weights(rounds: int = 30) -> str:
+    """Of the relationships up to a weight, any spanning forest of least weight has as many as nodes
+    lack to the components: told from smallest labels, without a forest."""
+    steps = [f"WITH {CHAIN_SQL}, e AS MATERIALIZED (SELECT src, dst, min(w) AS w FROM both_ways WHERE src <> dst GROUP BY src, dst), t AS (SELECT DISTINCT w AS t FROM e), l0 AS MATERIALIZED (SELECT t, id, id AS l FROM t, nodes)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"n{k} AS MATERIALIZED (SELECT q.t, e.src AS id, min(q.l) AS l FROM l{k - 1} AS q JOIN e ON e.dst = q.id AND e.w <= q.t GROUP BY q.t, e.src), h{k} AS MATERIALIZED (SELECT q.t, q.id, least(q.l, coalesce(n.l, q.l)) AS l FROM l{k - 1} AS q LEFT JOIN n{k} AS n USING (t, id)), l{k} AS MATERIALIZED (SELECT a.t, a.id, least(a.l, b.l) AS l FROM h{k} AS a JOIN h{k} AS b ON b.t = a.t AND b.id = a.l)")
+    last = f"c AS (SELECT t, (SELECT count(*) FROM nodes) - count(DISTINCT l) AS n FROM l{rounds} GROUP BY t), d AS (SELECT t, n - coalesce(lag(n) OVER (ORDER BY t), 0) AS n FROM c)"
+    return ",\n".join([*steps, last]) + "\nSELECT t AS weight, CAST(n AS BIGINT) AS n FROM d WHERE n > 0"
+
+
+@query(_forest_weights())
 def spanning_forest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.spanning_forest(chain(spark, sf_dir, True).view(weight="quantity"))
+    """How many relationships of each weight the forest has."""
+    return paths.spanning_forest(chain(spark, sf_dir, True).view(weight="quantity")).groupBy("weight").agg(F.count("*").alias("n"))
+
+
+@query(_forest_weights())
+def spanning_tree_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the tree of the least part, which reaches all parts that have relationships."""
+    found = paths.spanning_tree(chain(spark, sf_dir, True).view(weight="quantity"), _least_part(spark, sf_dir))
+    return found.filter("nodeId <> parentId").groupBy("weight").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -438,6 +592,17 @@ def prize_steiner_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.prize_steiner_tree(type(view)(view.nodes.withColumn("prize", (F.col("id") % 7).cast("double")), view.edges, True, True), "prize")
 
 
+@query(f"""WITH {PLACES_SQL} SELECT id AS "nodeId", CAST(2 AS BIGINT) AS walks, CAST(0 AS BIGINT) AS wrong FROM nodes""")
+def random_walk_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each node how many walks begin there, and how many steps are along no relationship."""
+    view = places(spark, sf_dir, True).view()
+    walks = cut(paths.random_walk(view, 5, 2, 0.5, 2.0).select("nodeIds").withColumn("w", F.monotonically_increasing_id()))
+    steps = walks.select("w", F.explode(F.arrays_zip(F.slice("nodeIds", F.lit(1), F.size("nodeIds") - 1).alias("src"), F.slice("nodeIds", 2, F.size("nodeIds")).alias("dst"))).alias("s")).select("w", "s.src", "s.dst")
+    wrong = steps.join(view.edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti").groupBy("w").agg(F.count("*").alias("wrong"))
+    first = walks.select("w", F.get("nodeIds", F.lit(0)).alias("nodeId"))
+    return first.join(wrong, "w", "left").groupBy("nodeId").agg(F.count("*").alias("walks"), F.coalesce(F.sum("wrong"), F.lit(0)).cast("long").alias("wrong"))
+
+
 @query()
 def random_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.random_walk(places(spark, sf_dir, True).view(), 5, 2, 0.5, 2.0)
@@ -514,6 +679,16 @@ def scale_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *(F.round(s, 9 if "norm" in s else 6).alias(s) for s in ("minmax", "max", "mean", "stdscore", "center", "log", "l1norm", "l2norm")))
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS DOUBLE) AS l FROM embeddings), u AS (SELECT unnest(range(64)) AS i, unnest(e) AS x FROM v), s AS (SELECT i, min(x) AS lo, max(x) AS hi FROM u GROUP BY i),
+a AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM s), b AS (SELECT min(l) AS lo, max(l) AS hi FROM v)
+SELECT vec_id AS "nodeId", round((e[1] - a.lo[1]) / (a.hi[1] - a.lo[1]), 6) AS first, round((e[64] - a.lo[64]) / (a.hi[64] - a.lo[64]), 6) AS last, round((l - b.lo) / (b.hi - b.lo), 6) AS label, 65 AS n FROM v, a, b""")
+def scale_array_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array and a number, scaled place by place and put one after another."""
+    found = vec.scale_properties(vectors(spark, sf_dir), ["embedding", "label"], "MINMAX")
+    at = lambda k: F.get("scaledProperty", F.lit(k))
+    return rounded(found.select("nodeId", at(0).alias("first"), at(63).alias("last"), at(64).alias("label"), F.size("scaledProperty").alias("n")), "first", "last", "label")
+
+
 @query("""SELECT p_partkey AS id, CAST(p_size = 1 AS BIGINT) AS a, CAST(p_size = 2 AS BIGINT) AS b, CAST(p_size > 2 AND p_size = 3 AS BIGINT) AS c FROM part""")
 def one_hot_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = vec.one_hot(F.array(*map(F.lit, (1, 2, 3))), F.array("p_size"))
@@ -533,6 +708,36 @@ def generate_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return degrees.agg(F.count("*").alias("nodes"), F.sum("count").alias("relationships"), F.min("count").alias("least"), F.max("count").alias("most"))
 
 
+_SAMPLE_SQL = f"""WITH {PLACES_SQL} SELECT CAST(round(count(*) * 0.15) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS dangling FROM nodes"""
+
+
+def _sample_facts(spark: SparkSession, sf_dir: str, draw: Callable) -> DataFrame:
+    """How many nodes a sample has, how many of them the graph lacks, and how many of its
+    relationships lack an end."""
+    graph = places(spark, sf_dir, True)
+    found = draw(graph)
+    ends = found.rels.select(F.explode(F.array("sourceNodeId", "targetNodeId")).alias("nodeId"))
+    counts = (found.nodes.count(), found.nodes.join(graph.nodes, "nodeId", "left_anti").count(), ends.join(found.nodes, "nodeId", "left_anti").count())
+    return spark.createDataFrame([counts], "nodes long, strangers long, dangling long")
+
+
+@query(_SAMPLE_SQL)
+def sample_rwr_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample_facts(spark, sf_dir, sampling.rwr)
+
+
+@query(_SAMPLE_SQL)
+def sample_cnarw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample_facts(spark, sf_dir, sampling.cnarw)
+
+
+@query(f"""WITH {PLACES_SQL} SELECT CASE id % 4 WHEN 0 THEN 'Region' WHEN 1 THEN 'Nation' WHEN 2 THEN 'Supplier' ELSE 'Customer' END AS label, CAST(round(count(*) * 0.15) AS BIGINT) AS nodes FROM nodes GROUP BY id % 4 HAVING round(count(*) * 0.15) > 0""")
+def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's share of a stratified sample."""
+    found = sampling.rwr(places(spark, sf_dir, True), node_label_stratification=True).nodes
+    return found.select(F.get("labels", F.lit(0)).alias("label")).groupBy("label").agg(F.count("*").alias("nodes"))
+
+
 @query()
 def sample_rwr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.rwr(places(spark, sf_dir, True)).nodes.select("nodeId")
@@ -594,10 +799,26 @@ def link_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("node1", "node2", at(0).alias("hadamard"), at(64).alias("l2"), at(128).alias("cosine"), at(129).alias("same")), "hadamard", "l2", "cosine")
 
 
-@query("""SELECT CAST(sum(CAST(quality = toxic AS INTEGER)) AS DOUBLE) / count(*) AS accuracy FROM labels""")
+@query("""WITH c AS (SELECT k, sum(CAST(quality = k AND toxic = k AS INTEGER))::DOUBLE AS hit, sum(CAST(quality = k AS INTEGER))::DOUBLE AS truth, sum(CAST(toxic = k AS INTEGER))::DOUBLE AS said FROM labels, (VALUES (0), (1)) AS v(k) GROUP BY k),
+f AS (SELECT k, hit, truth, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN truth > 0 THEN hit / truth ELSE 0 END AS r FROM c), g AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM f)
+SELECT round(sum(hit) / sum(truth), 6) AS accuracy, round(avg(f1), 6) AS f1_macro, round(sum(f1 * truth) / sum(truth), 6) AS f1_weighted, round(max(CASE WHEN k = 1 THEN p END), 6) AS precision_1, round(max(CASE WHEN k = 1 THEN r END), 6) AS recall_1 FROM g""")
 def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select(F.col("quality").alias("label"), F.col("toxic").alias("predicted"))
-    return spark.createDataFrame([(ml.classification_metrics(rows)["ACCURACY"],)], "accuracy double")
+    found = ml.classification_metrics(rows)
+    names = {"ACCURACY": "accuracy", "F1_MACRO": "f1_macro", "F1_WEIGHTED": "f1_weighted", "PRECISION(class=1)": "precision_1", "RECALL(class=1)": "recall_1"}
+    return spark.createDataFrame([tuple(round(float(found[k]), 6) for k in names)], ", ".join(f"{v} double" for v in names.values()))
+
+
+@query("""WITH r AS (SELECT l.quality AS y, round(d.n_chars::DOUBLE / (d.n_chars + 1000), 9) AS p FROM labels AS l JOIN documents AS d USING (doc_id) WHERE d.n_chars IS NOT NULL),
+g AS (SELECT p, sum(y)::DOUBLE AS tp, sum(1 - y)::DOUBLE AS fp FROM r GROUP BY p), c AS (SELECT p, tp, sum(tp) OVER w AS t, sum(fp) OVER w AS f FROM g WINDOW w AS (ORDER BY p DESC)),
+x AS (SELECT tp, t / (t + f) AS now, coalesce(lag(t / (t + f)) OVER (ORDER BY p DESC), 1) AS before FROM c)
+SELECT round(sum(tp * (now + before) / 2) / (SELECT sum(y) FROM r), 6) AS aucpr FROM x""")
+def auc_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of a text as a score of its quality."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    n = F.col("n_chars").cast("double")
+    rows = labels.join(docs, "doc_id").filter("n_chars IS NOT NULL").select(F.col("quality").alias("label"), (n / (n + 1000)).alias("probability"))
+    return spark.createDataFrame([(round(ml.auc_pr(rows), 6),)], "aucpr double")
 
 
 @query()
