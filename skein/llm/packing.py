@@ -24,25 +24,45 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE file of `tokenizers`, by tiktoken, which merges the same
-    vocabulary by the same ranks several times faster; by the library itself where that fails."""
+    """Ids of a byte-level BPE file of `tokenizers`. By tiktoken, several times faster, where the
+    file says that it merges the same vocabulary by the same ranks: no normaliser, cut by the
+    usual pattern alone, every merge's rank in the order of its token's id. By the library itself
+    otherwise, and for texts on which the fast way fails."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path, self.slow, self.fast = path, None, None
+        if not _by_ranks(spec):
+            return
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         # printable bytes stand for themselves, others for code points from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.path = path
 
     def encode(self, text: str) -> list[int]:
-        try:
-            return self.fast.encode(text, allowed_special="all")
-        except BaseException:  # the pattern engine gives up on some very long runs
-            return Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids
+        if self.fast is not None:
+            try:
+                return self.fast.encode(text, allowed_special="all")
+            except BaseException as error:  # the pattern engine gives up on some very long runs: a panic is no Exception
+                if not isinstance(error, ValueError) and type(error).__name__ != "PanicException":
+                    raise
+        self.slow = self.slow or Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
+
+def _by_ranks(spec: dict) -> bool:
+    """Whether a file of `tokenizers` says what tiktoken does."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    usual = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    simple = all(not t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (plain and usual and simple):
+        return False
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    return None not in merged and all(a < b for a, b in zip(merged, merged[1:]))
 
 
 @lru_cache(2)
@@ -103,9 +123,12 @@ def pack(items: DataFrame, capacity: int = 1024, group: int = 8192, fan_in: int
     Items are dealt by a hash into groups of about `group`, and each group packs best-fit.
     Bins with at most `nearly` free places are sequences now. Of the others a group hands on
     its fan_in + 1 emptiest, as items; fan_in groups' bins meet in a next group, are packed
-    best-fit, and so on up to one group. That is no loss: two bins of a group never fit into
-    one, so each has one bin at most that could go into another, and fan_in emptiest bins
-    are as many as could take those of fan_in groups. Bins not handed on are sequences.
+    best-fit, and so on up to one group. Two bins of a group never fit into one, so each has one
+    bin at most that could go whole into another group's, and fan_in emptiest bins are as many as
+    could take those of fan_in groups. Bins not handed on are sequences. What is lost against one
+    best-fit over all items is what that would have mixed across groups: 0.7 % more sequences
+    for 200,000 items of a third to two thirds of the capacity, none to speak of where short
+    items abound.
     """
     spark = items.sparkSession
     with Workspace(spark, "packing") as w:

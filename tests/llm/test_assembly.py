@@ -56,6 +56,23 @@ def test_special_token_text_and_long_runs():
         assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizer_files_go_the_slow_way(tmp_path):
+    """A file that says something else, here a normaliser, is not encoded by ranks."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from skein.llm.packing import ByteBpe
+
+    spec = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    assert ByteBpe(P.path("byte_bpe_50k.json")).fast is not None
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    ours = ByteBpe(path)
+    assert ours.fast is None and ours.encode("ABC Def") == Tokenizer.from_file(path).encode("abc def", add_special_tokens=False).ids
+
+
 def test_pack_in_rounds(spark):
     rng = random.Random(4)
     rows = [(i, rng.randint(1, 100)) for i in range(600)] + [(600, 100)]
