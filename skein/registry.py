@@ -273,18 +273,6 @@ def modularity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, chain(spark, sf_dir, True), "modularity", {"communityProperty": "p_size", "relationshipWeightProperty": "quantity"}, "modularity", "communityCount", "relationshipCount")
 
 
-@query(f"""WITH {PLACES_SQL} SELECT (SELECT count(*) FROM nodes) AS "nodeCount", TRUE AS good""")
-def louvain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stats' modularity is that of the communities which stream gives."""
-    graph = places(spark, sf_dir, True)
-    engine = Engine(spark)
-    engine.graphs.put("g", graph)
-    found = engine.call("louvain.stats", "g")
-    q = community.modularity(graph.view(), engine.call("louvain.stream", "g")).agg(F.sum("modularity")).first()[0]
-    good = abs(q - found["modularity"]) < 1e-9 and found["modularities"][-1] == found["modularity"] and found["ranLevels"] == len(found["modularities"])
-    return spark.createDataFrame([(found["nodeCount"], good)], "nodeCount long, good boolean")
-
-
 # ---- community ---------------------------------------------------------------------------------
 
 
