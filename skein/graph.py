@@ -15,25 +15,30 @@ _REL_KEYS = ("sourceNodeId", "targetNodeId", "relationshipType")
 @dataclass(frozen=True)
 class View:
     """What operators see: nodes (id and their properties) and edges (src, dst, weight).
-    An undirected view has every edge in both directions."""
+    An undirected view has every edge in both directions. typed, where a graph has types, is
+    (src, dst, type) of the same edges."""
 
     nodes: DataFrame
     edges: DataFrame
     undirected: bool = False
     weighted: bool = False
+    typed: DataFrame | None = None
 
     @property
     def ids(self) -> DataFrame:
         return self.nodes.select("id")
 
     def reversed(self) -> View:
-        return replace(self, edges=self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+        turned = lambda df, c: df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), c)
+        return replace(self, edges=turned(self.edges, "weight"), typed=None if self.typed is None else turned(self.typed, "type"))
 
     def both_ways(self) -> View:
         """The edges and their opposites, unless the view is undirected already."""
         if self.undirected:
             return self
-        return replace(self, edges=self.edges.unionByName(self.reversed().edges), undirected=True)
+        back = self.reversed()
+        typed = None if self.typed is None else self.typed.unionByName(back.typed)
+        return replace(self, edges=self.edges.unionByName(back.edges), undirected=True, typed=typed)
 
     def neighbours(self) -> DataFrame:
         """Distinct (src, dst) without self-loops."""
@@ -83,7 +88,8 @@ class Graph:
         edges = rels.select(F.col("sourceNodeId").alias("src"), F.col("targetNodeId").alias("dst"), w.alias("weight"))
         named = self.types() if self.undirected and ALL in relationship_types else relationship_types
         undirected = bool(self.undirected) and all(t in self.undirected for t in named)
-        return View(nodes.withColumnRenamed("nodeId", "id"), edges, undirected, weight is not None)
+        typed = rels.select(F.col("sourceNodeId").alias("src"), F.col("targetNodeId").alias("dst"), F.col("relationshipType").alias("type"))
+        return View(nodes.withColumnRenamed("nodeId", "id"), edges, undirected, weight is not None, typed)
 
     def with_node_property(self, name: str, values: DataFrame, column: str, default=None) -> Graph:
         """values has nodeId and column; nodes without a value get the default."""

@@ -767,7 +767,7 @@ def hash_gnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def graph_sage(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = chain(spark, sf_dir, True).view()
-    return embeddings.train_graph_sage(view, ["p_size", "p_retailprice"], 8, sample_sizes=(5, 5), sampled_edges=500).embed(view)
+    return embeddings.train_graph_sage(view, ["p_size", "p_retailprice"], 8, sample_sizes=(5, 5)).embed(view)
 
 
 @query("""WITH m AS (SELECT count(DISTINCT least(a.l_partkey, b.l_partkey) * 10000000 + greatest(a.l_partkey, b.l_partkey)) AS m FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)

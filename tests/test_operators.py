@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,74 @@ def test_embeddings(spark):
         assert {len(x) for x in s.values()} == {4}
 
 
+def test_hash_gnn_by_types(spark):
+    from skein.graph import Graph
+
+    nodes = spark.createDataFrame([(i, ["N"]) for i in range(30)], "nodeId long, labels array<string>")
+    pairs = [(i, (i + 1) % 30) for i in range(30)]
+    rels = lambda kinds: spark.createDataFrame([(a, b, k) for (a, b), k in zip(pairs, kinds)], "sourceNodeId long, targetNodeId long, relationshipType string")
+    config = {"iterations": 2, "embedding_density": 4, "generate_features": {"dimension": 32, "densityLevel": 3}}
+    one, two = Graph(nodes, rels(["A"] * 30)).view(), Graph(nodes, rels(["A", "B"] * 15)).view()
+    plain = values(embeddings.hash_gnn(one, **config))
+    assert values(embeddings.hash_gnn(two, **config)) == plain  # types say nothing
+    assert values(embeddings.hash_gnn(one, heterogeneous=True, **config)) == plain  # one type is as none
+    assert values(embeddings.hash_gnn(two, heterogeneous=True, **config)) != plain
+    assert values(embeddings.hash_gnn(two.both_ways(), heterogeneous=True, **config)).keys() == plain.keys()
+
+
+@pytest.mark.parametrize("kind", ["MEAN", "POOL"])
+@pytest.mark.parametrize("activation", ["SIGMOID", "RELU"])
+def test_graph_sage_gradients(kind, activation):
+    """Every weight's gradient against differences of the loss."""
+    rng = np.random.default_rng(3)
+    labels = {"a": rng.normal(size=(4, 3)), "b": rng.normal(size=(4, 3))}
+    pool = lambda a, b: rng.normal(size=(a, b)) if kind == "POOL" else None
+    wide = 5 if kind == "POOL" else 3
+    layers = [{"own": rng.normal(size=(3, 5)), "near": rng.normal(size=(wide, 5)), "pool": pool(3, 5)}, {"own": rng.normal(size=(5, 5)), "near": rng.normal(size=(5, 5)), "pool": pool(5, 5)}]
+    model = embeddings.GraphSageModel(["f"], kind, activation, layers, (3, 2), labels)
+    x, label = rng.normal(size=(9, 4)), np.array(list("abababbaa"), object)
+    near = [rng.integers(-1, 9, (9, 3)), rng.integers(-1, 9, (9, 2))]
+    near[1][0] = near[0][1] = -1
+    pairs, other = np.array([(0, 1), (2, 3), (0, 4)]), np.array([5, 6, 0])
+    loss = lambda: embeddings.sage_loss(model, x, label, near, pairs, other, 2.0)
+    _, grads = loss()
+    assert set(grads) == set(model.weights())
+    for k, w in model.weights().items():
+        for at in [(0, 0), (1, 2), (2, 1)]:
+            held = w[at]
+            w[at] = held + 1e-6
+            above = loss()[0]
+            w[at] = held - 1e-6
+            below = loss()[0]
+            w[at] = held
+            assert abs((above - below) / 2e-6 - grads[k][at]) < 1e-5, (k, at)
+
+
+def test_graph_sage_learns(spark):
+    from skein.graph import Graph
+
+    rng = random.Random(1)
+    nodes = spark.createDataFrame([(i, ["A" if i % 2 else "B"], rng.gauss(1.0 if i < 20 else -1.0, 0.5)) for i in range(40)], "nodeId long, labels array<string>, f double")
+    pairs = [(a, b) for side in (0, 20) for a in range(side, side + 20) for b in rng.sample(range(side, side + 20), 4) if a != b]
+    rels = spark.createDataFrame([(a, b, "T") for a, b in pairs], "sourceNodeId long, targetNodeId long, relationshipType string")
+    view = Graph(nodes, rels).view().both_ways()
+    for more in ({}, {"projected_feature_dimension": 3}):
+        m = embeddings.train_graph_sage(view, ["f"], 4, sample_sizes=(3, 3), epochs=8, batch_size=50, learning_rate=0.05, negative_sample_weight=1, **more)
+        assert m.metrics["ranEpochs"] == len(m.metrics["epochLosses"]) and m.metrics["epochLosses"][-1] < m.metrics["epochLosses"][0]
+        assert {len(x) for x in values(m.embed(view)).values()} == {4}
+
+
+def test_given_negatives(spark):
+    from skein.graph import Graph
+
+    nodes = spark.createDataFrame([(i, ["N"], [float(i % 2), 1.0]) for i in range(60)], "nodeId long, labels array<string>, x array<double>")
+    rows = [(i, i + 2, "LINK") for i in range(58)] + [(i, i + 1, "NOT") for i in range(59)]
+    graph = Graph(nodes, spark.createDataFrame(rows, "sourceNodeId long, targetNodeId long, relationshipType string"))
+    p = ml.Pipeline("link").add_feature("L2", ["x"]).configure_split(validationFolds=2, trainFraction=0.5, testFraction=0.3, negativeRelationshipType="NOT").add("LogisticRegression", maxEpochs=30)
+    m = ml.train_link_pipeline(p, graph, graph.view(), lambda w: w.nodes)
+    assert m.metrics["test"]["AUCPR"] > 0.99
+
+
 def test_learning(spark):
     rng = random.Random(2)
     x = [[rng.gauss(2 * (i % 2), 0.3), rng.gauss(0, 1)] for i in range(120)]
