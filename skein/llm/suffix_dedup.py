@@ -7,20 +7,22 @@ place. Windows can only be equal if their anchors are, so:
 
 1. anchors meet by hash; those that two documents have are reported back to their documents;
 2. each run of consecutive windows with one reported anchor becomes a segment, and segments meet
-   by anchor; equal ones are one entry, and a suffix array over all entries whose anchor has
-   several gives the longest previous factor of every window's start, previous meaning in a
-   document with a smaller id; factors of min_bytes or more are covered;
+   by anchor; of these, runs of windows whose hashes several documents have are left. Equal
+   runs are one entry, and a suffix array over all entries whose anchor has several gives the
+   longest previous factor of every window's start, previous meaning in a document with a
+   smaller id; factors of min_bytes or more are covered;
 3. covered spans go back to their documents and are merged and cut out.
 
-Work on a slice of rows is combined before it moves: an anchor or segment that many documents
-of a slice share moves once. So a passage that a third of all documents share is as many
-rows as there are slices, not documents.
+Work is combined before it moves: an anchor that many documents of a load share moves once, and
+so does a segment that many of a slice share. What a load has for a bucket is one row, so rows
+are loads times buckets. Both follow the input, but a load is many slices: rows stay large.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ from skein.llm._work import Workspace, partitions
 
 ANCHOR = 20
 _SLICE = 2 << 20
+#: Bytes of text, and of segments, whose rows for the buckets a task combines before they move.
+_LOAD = 32 << 20
+_SEGMENT_LOAD = 16 << 20
+_compress = zstandard.ZstdCompressor(1).compress
 _NULL_ID = -(2**63)
 
 
@@ -187,7 +193,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, block: int = 1 <
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value: their lengths in bytes first."""
     parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(1).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
+    return _compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
 
 
 def _unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
@@ -197,6 +203,17 @@ def _unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(raw[a:b], k) for a, b, k in zip(at, at[1:], kinds)]
 
 
+def _planes(x: np.ndarray, low: int = 0) -> np.ndarray:
+    """The bytes of 64-bit numbers from the `low`-th on: first all numbers' lowest, and so on."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, low:].T
+
+
+def _from_planes(planes: np.ndarray, kind: type, low: int = 0) -> np.ndarray:
+    full = np.zeros((len(planes) // (8 - low), 8), np.uint8)
+    full[:, low:] = planes.reshape(8 - low, -1).T
+    return full.view(kind).ravel()
+
+
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -228,12 +245,10 @@ _SPAN_SQL = "doc_id long, start long, length long"
 # ---- the three steps -----------------------------------------------------------------------
 
 
-def _offer(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length: int, buckets: int) -> Iterator[tuple]:
-    """Step 1 of a slice: to each bucket its anchors' hashes and documents, an anchor that several
-    documents of the slice have without one; and to these documents that they share it."""
-    ids = _ids(rows)
-    begin, _, h = anchors(data, offsets, length)
-    owner = np.searchsorted(offsets, begin, "right") - 1
+def _offer(ids: np.ndarray, h: np.ndarray, owner: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Step 1 of a load, anchors h of the documents ids[owner]: to each bucket its anchors' hashes
+    and documents, an anchor that several documents of the load have without one; and to these
+    documents that they share it."""
     names, rank = np.unique(ids, return_inverse=True)
     order = np.argsort(h)
     h, owner = h[order], rank[owner[order]]
@@ -249,18 +264,40 @@ def _offer(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length:
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
     count = np.diff(np.append(first, len(h)))
     shared = np.repeat(count > 1, count)
+    told = h[shared]
     for doc, part in _by_bucket(owner[shared]):
-        yield int(names[doc]) % buckets, int(names[doc]), _pack(h[shared][part])
-    h, owner = np.concatenate([one, h[first]]), np.concatenate([one_owner, np.where(count > 1, -1, owner[first])])
+        yield int(names[doc]) % buckets, int(names[doc]), _pack(told[part])
+    known = np.concatenate([np.ones(len(one), bool), count == 1])
+    h, owner = np.concatenate([one, h[first]]), names[np.concatenate([one_owner, owner[first]])]
     order = np.argsort((h << U64(32)) | (h >> U64(32)))
-    h, owner = h[order], owner[order]
-    edges = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-    for bucket in np.flatnonzero(np.diff(edges)).tolist():
-        part = slice(edges[bucket], edges[bucket + 1])
-        # of the hash 48 bits and of the place in `names` 16; a slice with more documents sends them in full
-        kind = np.int16 if len(names) < 2**15 else np.int64
-        six = np.ascontiguousarray(h[part]).view(np.uint8).reshape(-1, 8)[:, 2:]
-        yield bucket, None, _pack(six, owner[part].astype(kind), np.diff(names, prepend=0), np.array([kind().itemsize], np.int64))
+    h, owner, known = h[order], np.where(known, owner, 0)[order], known[order]
+    edges = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1)).tolist()
+    for bucket in range(buckets):
+        a, b = edges[bucket], edges[bucket + 1]
+        if a < b:  # of the hash 48 bits
+            yield bucket, None, _pack(_planes(h[a:b], 2), _planes(owner[a:b]), known[a:b])
+
+
+def _offers(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Step 1 of a task, load by load."""
+    held, ids, hashes, owners = 0, [], [], []
+    n = 0
+    for rows, data, offsets in chunks(batches, "text", _SLICE):
+        if held and held + len(data) > _LOAD:
+            yield from _sent(_offer(np.concatenate(ids), np.concatenate(hashes), np.concatenate(owners), buckets))
+            held, n, ids, hashes, owners = 0, 0, [], [], []
+        begin, _, h = anchors(data, offsets, length)
+        ids.append(_ids(rows))
+        hashes.append(h)
+        owners.append(np.searchsorted(offsets, begin, "right") - 1 + n)
+        held, n = held + len(data), n + rows.num_rows
+    if ids:
+        yield from _sent(_offer(np.concatenate(ids), np.concatenate(hashes), np.concatenate(owners), buckets))
+
+
+def _sent(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 1000)):
+        yield _batch(some, _MOVED)
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
@@ -269,26 +306,18 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     docs = table.column("doc_id").to_pylist()
     told = [_unpack(v, "u8")[0] for d, v in zip(docs, values) if d is not None]
     whom = [np.full(len(h), d) for h, d in zip(told, (d for d in docs if d is not None))]
-    hashes, owners = [], []
-    for d, v in zip(docs, values):
-        if d is None:
-            six, owner, names, size = _unpack(v, "u1", "u1", "i8", "i8")
-            owner, names = owner.view(np.int16 if size[0] == 2 else np.int64).astype(np.int64), np.cumsum(names)
-            full = np.zeros((len(six) // 6, 8), np.uint8)
-            full[:, 2:] = six.reshape(-1, 6)
-            hashes.append(full.view(U64).ravel())
-            owners.append(np.where(owner < 0, -1, names[owner]))
-            known = owner >= 0
-            hashes[-1] = hashes[-1] | known.astype(U64)  # the lowest bit tells whose id counts
-    if hashes:
-        h, owner = np.concatenate(hashes), np.concatenate(owners)
-        known, h = (h & U64(1)) == 1, h & ~U64(1)
+    found = [_unpack(v, "u1", "u1", "?") for d, v in zip(docs, values) if d is None]
+    if found:
+        h = np.concatenate([_from_planes(x, U64, 2) for x, _, _ in found])
+        owner = np.concatenate([_from_planes(x, np.int64) for _, x, _ in found])
+        known = np.concatenate([x for _, _, x in found])
+        del found
         order = np.lexsort((owner, h))
         h, owner, known = h[order], owner[order], known[order]
         same = np.concatenate([[False], h[1:] == h[:-1]])
         # a group counts if any member lacks an id (it stands for several) or ids differ
         group = np.cumsum(~same) - 1
-        many = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+        many = np.zeros(int(group[-1]) + 1, bool)
         many[group[~known]] = True
         differs = same & np.concatenate([[False], owner[1:] != owner[:-1]])
         many[group[differs]] = True
@@ -299,9 +328,10 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(whom, pa.int64()), "hash": pa.array((told >> U64(16)).astype(np.int64))})
 
 
-def _segments(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length: int, buckets: int) -> Iterator[tuple]:
-    """Step 2 of a slice: to each bucket its segments. Of equal segments of the slice only the
-    smallest document's moves; the others' windows are covered, and they are told."""
+def _segments(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[list[tuple], list[bytes], list[np.ndarray]]:
+    """Step 2 of a slice: its segments, as their bytes and (windows, document, anchor, number of
+    places, the places). Of equal segments only the smallest document's is one; the others'
+    windows are covered, and the first value has (document, runs) to tell them."""
     ids = _ids(rows)
     begin, count, anchor = anchors(data, offsets, length)
     owner = np.searchsorted(offsets, begin, "right") - 1
@@ -328,17 +358,45 @@ def _segments(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, lengt
         placed.append(i)
     entry, covered, of, placed = (np.array(x, np.int64) for x in (entry, covered, of, placed))
     names, place = np.unique(owner[covered], return_inverse=True)
+    told = []
     for doc, part in _by_bucket(place):
         i = covered[part]
         runs = merged(np.column_stack([at[i], count[i] + length - 1]))
-        yield int(names[doc]) % buckets, int(names[doc]), _pack(np.column_stack([runs[:, 0], runs[:, 1] - runs[:, 0]]))
-    order = np.argsort(of, kind="stable")
-    places, n_places = at[placed[order]], np.bincount(of, minlength=len(entry))
-    base = np.cumsum(n_places) - n_places
-    for bucket, part in _by_bucket(_bucket(anchor[entry], buckets)):
-        i, n = entry[part], n_places[part]
-        text = b"".join(raw[starts[j] : ends[j]] for j in i.tolist())
-        yield bucket, None, _pack(np.frombuffer(text, np.uint8), count[i], owner[i], (anchor[i] >> U64(32)).astype(np.uint32), n, places[_spread(base[part], n)])
+        told.append((int(names[doc]), np.column_stack([runs[:, 0], runs[:, 1] - runs[:, 0]])))
+    places = at[placed[np.argsort(of, kind="stable")]]
+    return told, list(first), [count[entry], owner[entry], anchor[entry], np.bincount(of, minlength=len(entry)), places]
+
+
+def _segment_rows(pieces: list[bytes], parts: list[list[np.ndarray]], buckets: int) -> Iterator[tuple]:
+    """Step 2 of a load: to each bucket its segments."""
+    count, owner, anchor, n_places, places = (np.concatenate(x) for x in zip(*parts))
+    bucket = _bucket(anchor, buckets)
+    order = np.argsort(bucket, kind="stable")
+    places = places[_spread((np.cumsum(n_places) - n_places)[order], n_places[order])].astype(np.uint32)
+    count, owner, n_places = count[order].astype(np.uint32), owner[order], n_places[order].astype(np.uint32)
+    bucket, anchor = bucket[order], (anchor[order] >> U64(32)).astype(np.uint32)
+    place_at = np.concatenate([[0], np.cumsum(n_places, dtype=np.int64)])
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)]).tolist()
+    order = order.tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        text = np.frombuffer(b"".join([pieces[j] for j in order[a:b]]), np.uint8)
+        yield int(bucket[a]), None, _pack(text, count[a:b], _planes(owner[a:b]), anchor[a:b], n_places[a:b], places[place_at[a] : place_at[b]])
+
+
+def _segment_loads(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Step 2 of a task, load by load."""
+    held, pieces, parts = 0, [], []
+    for rows, data, offsets in chunks(batches, "text", _SLICE):
+        told, some, part = _segments(rows, data, offsets, length)
+        yield from _sent((doc % buckets, doc, _pack(runs)) for doc, runs in told)
+        pieces += some
+        parts.append(part)
+        held += int(part[0].sum()) + len(some) * (length - 1)
+        if held >= _SEGMENT_LOAD:
+            yield from _sent(_segment_rows(pieces, parts, buckets))
+            held, pieces, parts = 0, [], []
+    if parts:
+        yield from _sent(_segment_rows(pieces, parts, buckets))
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -347,8 +405,57 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - begin, sizes)
 
 
+def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the window of `length` (8 at least) bytes at each place that has one."""
+    hashes, have = mix(_words64(data)[: max(0, len(data) - 7)]), 8
+    while have < length:
+        step = min(have, length - have)
+        hashes = mix(hashes[: max(0, len(hashes) - step)] * U64(0x9E3779B97F4A7C15) + hashes[step:])
+        have += step
+    return hashes
+
+
+def _repeated(text: np.ndarray, count: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What of the segments can repeat: runs of windows whose hashes several documents have, as
+    their segments, first windows and numbers of windows. Equal windows have equal hashes."""
+    sizes = count + length - 1
+    base, windows = np.cumsum(sizes) - sizes, np.cumsum(count)
+    hashes = np.empty(int(count.sum()), U64)
+    for a, b in _pieces(sizes, 1 << 16):  # arrays that stay in the cache
+        here = _window_hashes(text[base[a] : base[b - 1] + sizes[b - 1]], length)
+        hashes[windows[a] - count[a] : windows[b - 1]] = here[_spread(base[a:b] - base[a], count[a:b])]
+    whose = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    # sorted by the hashes' upper bits, with the windows' numbers in the lower ones
+    bits = U64(len(hashes).bit_length())
+    hashes = (hashes >> bits << bits) | np.arange(len(hashes), dtype=U64)
+    hashes.sort()
+    order = (hashes & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    hashes >>= bits
+    opens = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+    n = np.diff(np.append(opens, len(hashes)))
+    order = order[np.repeat(n > 1, n)]  # others have nothing to equal
+    n = n[n > 1]
+    owners, opens = owner[whose[order]], np.cumsum(n) - n
+    differ = np.minimum.reduceat(owners, opens) < np.maximum.reduceat(owners, opens) if len(n) else np.zeros(0, bool)
+    at = np.sort(order[np.repeat(differ, n)])
+    whose = whose[at]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (whose[1:] != whose[:-1])])[: len(at)])
+    which = whose[first].astype(np.int64)
+    return which, at[first] - (windows - count)[which], np.diff(np.append(first, len(at)))
+
+
+def _pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about `most` in all, one at least in each."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + most, "right")))
+        yield a, b
+        a = b
+
+
 def _entries(text: np.ndarray, sizes: np.ndarray, owner: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The segments of a bucket that a suffix array is built over, and those that are covered at
+    """The segments, or runs of them, that a suffix array is built over, and those that are covered at
     once. Equal segments are one entry, the smallest document's; the other documents' are
     covered. An anchor with one entry left has no other window to equal."""
     raw, ends = text.tobytes(), np.cumsum(sizes)
@@ -388,31 +495,37 @@ def _cover(length: int):
             if d is not None:
                 told = _unpack(v, "i8")[0].reshape(-1, 2)
                 spans.append(np.column_stack([np.full(len(told), d), told]))
-        found = [_unpack(v, "u1", "i8", "i8", "u4", "i8", "i8") for d, v in zip(docs, values) if d is None]
+        found = [_unpack(v, "u1", "u4", "u1", "u4", "u4", "u4") for d, v in zip(docs, values) if d is None]
         if found:
-            text, count, owner, anchor, n_places, places = (np.concatenate(x) for x in zip(*found))
+            text, count, owner, anchor, n_places, places = zip(*found)
             del found, values
-            sizes = count + length - 1
+            owner = np.concatenate([_from_planes(x, np.int64) for x in owner])
+            text, anchor = np.concatenate(text), np.concatenate(anchor)
+            count, n_places, places = (np.concatenate(x).astype(np.int64) for x in (count, n_places, places))
             base_at = np.cumsum(n_places) - n_places
-            entry, gone = _entries(text, sizes, owner, anchor)
+            which, skip, windows = _repeated(text, count, owner, length)
+            sizes = windows + length - 1
+            text = text[_spread((np.cumsum(count + length - 1) - count - length + 1)[which] + skip, sizes)]
+            entry, gone = _entries(text, sizes, owner[which], anchor[which])
 
-            def tell(which: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-                """A span within each of these segments, wherever these have a place."""
-                n = n_places[which]
-                spans.append(np.column_stack([np.repeat(owner[which], n), places[_spread(base_at[which], n)] + np.repeat(begin, n), np.repeat(size, n)]))
+            def tell(run: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+                """A span within each of these runs, wherever their segments have a place."""
+                of = which[run]
+                n = n_places[of]
+                spans.append(np.column_stack([np.repeat(owner[of], n), places[_spread(base_at[of], n)] + np.repeat(skip[run] + begin, n), np.repeat(size, n)]))
 
             tell(gone, np.zeros(len(gone), np.int64), sizes[gone])
             text = text[_spread((np.cumsum(sizes) - sizes)[entry], sizes[entry])]
-            n, size = count[entry], sizes[entry]
+            n, size = windows[entry], sizes[entry]
             base = np.cumsum(size) - size
             starts = _spread(base, n)
-            factor = longest_previous(text, np.repeat(owner[entry], n), starts, np.repeat(base + size, n), length)
+            factor = longest_previous(text, np.repeat(owner[which[entry]], n), starts, np.repeat(base + size, n), length)
             # a factor that long covers what it has in common with an earlier document
             hit = np.flatnonzero(factor >= length)
             if len(hit):
-                which, within = np.repeat(np.arange(len(entry)), n)[hit], starts[hit] - np.repeat(base, n)[hit]
-                which, within, covered = _merged_by_owner(which, within, factor[hit]).T
-                tell(entry[which], within, covered)
+                run, within = np.repeat(np.arange(len(entry)), n)[hit], starts[hit] - np.repeat(base, n)[hit]
+                run, within, covered = _merged_by_owner(run, within, factor[hit]).T
+                tell(entry[run], within, covered)
         out = _merged_by_owner(*np.concatenate(spans).T)
         return pa.table(dict(zip(("doc_id", "start", "length"), map(pa.array, out.T))))
 
@@ -452,12 +565,10 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id",
         buckets = max(8 * partitions(spark), -(-size // _SLICE))
 
         def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, data, offsets in chunks(batches, "text", _SLICE):
-                yield _batch(list(_offer(rows, data, offsets, min_bytes, buckets)), _MOVED)
+            return _offers(batches, min_bytes, buckets)
 
         def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, data, offsets in chunks(batches, "text", _SLICE):
-                yield _batch(list(_segments(rows, data, offsets, min_bytes, buckets)), _MOVED)
+            return _segment_loads(batches, min_bytes, buckets)
 
         told = w.stage(docs.mapInArrow(offer, _MOVED_SQL).groupBy("bucket").applyInArrow(_answer, _TOLD_SQL))
         told = told.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("hash").alias("shared"))

@@ -5,12 +5,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skein.llm.exact_dedup import exact_dedup, probe
 from skein.llm.line_dedup import line_dedup
 from skein.llm.near_dedup import drop_near_duplicates, near_dedup
+from skein.llm import suffix_dedup
 from skein.llm.suffix_dedup import anchors, longest_previous, merged, remove_repeats
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,6 +82,55 @@ def test_suffix(odd, odd_rows):
         assert sum(s["length"] for s in r["spans"]) == r["n_removed"] and len(r["spans"]) == r["n_spans"]
 
 
+def moved(batches):
+    """(bucket, doc_id, value) rows by bucket."""
+    out = defaultdict(list)
+    for batch in batches:
+        for r in batch.to_pylist():
+            out[r["bucket"]].append(r)
+    return {k: pa.Table.from_pylist(v, pa.schema(suffix_dedup._MOVED)) for k, v in out.items()}
+
+
+def test_suffix_in_loads_and_buckets(monkeypatch):
+    """The steps by hand, over several loads of several slices and many buckets."""
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 3000)
+    monkeypatch.setattr(suffix_dedup, "_LOAD", 10_000)
+    monkeypatch.setattr(suffix_dedup, "_SEGMENT_LOAD", 5000)
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(60)]
+    passages = [" ".join(rng.choice(words, 25)) for _ in range(6)]
+    say = lambda n: " ".join(rng.choice(words[:9], n))
+    texts = {int(k) * 7 - 900: " ".join([say(rng.integers(0, 30)), passages[k % 6], say(rng.integers(0, 30))]).encode() for k in rng.permutation(300)}
+    texts |= {5: texts[-893], 6: b"", 8: passages[0].encode() * 3}
+    docs = pa.table({"doc_id": pa.array(list(texts), pa.int64()), "text": [t.decode() for t in texts.values()]})
+    shared = defaultdict(list)
+    for bucket, rows in moved(suffix_dedup._offers(iter(docs.to_batches()), 50, 37)).items():
+        for r in suffix_dedup._answer((bucket,), rows).to_pylist():
+            shared[r["doc_id"]].append(r["hash"])
+    docs = docs.append_column("shared", pa.array([shared[d] for d in texts], pa.list_(pa.int64())))
+    spans = defaultdict(list)
+    for bucket, rows in moved(suffix_dedup._segment_loads(iter(docs.to_batches()), 50, 37)).items():
+        for r in suffix_dedup._cover(50)((bucket,), rows).to_pylist():
+            spans[r["doc_id"]].append((r["start"], r["length"]))
+    for (doc, t), gone in removed({d: [t] for d, t in texts.items()}, 50).items():
+        got = np.zeros(len(t), bool)
+        for a, b in merged(np.array(spans[doc], np.int64).reshape(-1, 2)).tolist():
+            got[a:b] = True
+        assert (got == gone).all()
+
+
+def test_suffix_moves_rows_by_loads_not_slices():
+    """A task of 16 slices and 5,000 buckets: one row for each bucket, not one for each slice, too;
+    and rows that hold what they are about, not the slice's documents."""
+    rng = np.random.default_rng(4)
+    texts = rng.integers(97, 123, (4000, 7000), np.uint8)
+    docs = pa.table({"doc_id": rng.integers(0, 2**60, 4000), "text": [t.tobytes().decode() for t in texts]})
+    rows = [r for b in suffix_dedup._offers(iter(docs.to_batches()), 50, 5000) for r in b.to_pylist()]
+    assert len(rows) <= 5000
+    n_anchors = texts.size / 16
+    assert sum(len(r["value"]) for r in rows) < 16 * n_anchors
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=40), min_size=1, max_size=6), st.sampled_from([1, 3, 8, 12]))
 def test_longest_previous(texts, depth):
