@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -9,26 +10,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein.graph import Graph, View, within
+from skein.operators.draws import drawn, guide, unit
 from skein.plans.iterate import cut, is_empty
 
 
-def _unit(*keys):
-    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+def _shared(links: DataFrame) -> DataFrame:
+    """(src, dst, c): how many nodes both ends of a link have links to, itself being one. Common ends are
+    found in triangles of the links without their direction, each once from its node of least
+    degree, so that a node that very many share is not paired with itself for all of these."""
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    sides = links.filter("src <> dst").groupBy(a.alias("a"), b.alias("b")).agg(F.max(F.col("src") == a).alias("ab"), F.max(F.col("src") == b).alias("ba"))
+    sides = cut(sides)
+    degree = sides.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    ranked = sides.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    turn = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") > F.col("b")))
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    # from the end of less degree: out tells whether a link goes that way, back whether one comes
+    up = cut(ranked.select(pick("a", "b").alias("p"), pick("b", "a").alias("q"), pick("ab", "ba").alias("out"), pick("ba", "ab").alias("back")))
+    x, y, z = up.toDF("p", "q", "pq", "qp"), up.toDF("p", "r", "pr", "rp"), up.toDF("q", "r", "qr", "rq")
+    met = x.join(y, "p").join(z, ["q", "r"])
+    pairs = []
+    for s, t, m in itertools.permutations("pqr"):
+        pairs.append(F.when(F.col(s + t) & F.col(s + m) & F.col(t + m), F.struct(F.col(s).alias("src"), F.col(t).alias("dst"))))
+    third = met.select(F.explode(F.filter(F.array(*pairs), lambda v: v.isNotNull())).alias("v")).select("v.src", "v.dst")
+    # loops: of the far end, of the near one if a link leads back to it, and from a node to itself
+    loops = links.filter("src = dst").select(F.col("src").alias("at"))
+    others = links.filter("src <> dst").select("src", "dst")
+    far = others.join(loops.withColumnRenamed("at", "dst"), "dst", "left_semi").select("src", "dst")
+    near = others.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(others, ["src", "dst"], "left_semi").join(loops.withColumnRenamed("at", "src"), "src", "left_semi").select("src", "dst")
+    own = links.join(loops.withColumnRenamed("at", "src"), "src", "left_semi").select("src", F.col("src").alias("dst"))
+    return third.unionByName(far).unionByName(near).unionByName(own).groupBy("src", "dst").agg(F.count("*").alias("c"))
 
 
 def _walk(view: View, ratio: float, restart: float, start_nodes, seed: int, walkers: int, common_aware: bool) -> DataFrame:
     """(id) of the nodes seen. walkers walks step together; each goes back to its start with
     probability restart. When three rounds see nothing new, the walks start at nodes not seen yet,
     until the goal is reached or all nodes are seen. A large goal has more walkers."""
-    links = cut(view.edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).filter("w > 0"))
+    links = cut(view.edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).filter("w > 0 AND NOT isnan(w)"))
     if common_aware:
         # a step to a node of few common neighbours and high degree is likelier
         degree = links.groupBy("src").agg(F.count("*").alias("d"))
-        near = links.select("src", "dst")
-        shared = near.join(near.toDF("dst", "m"), "dst").join(near.toDF("src", "m"), ["src", "m"]).groupBy("src", "dst").agg(F.count("*").alias("c"))
-        both = links.join(shared, ["src", "dst"], "left").join(degree, "src").join(degree.toDF("dst", "dd"), "dst", "left")
+        both = links.join(_shared(links), ["src", "dst"], "left").join(degree, "src").join(degree.toDF("dst", "dd"), "dst", "left")
         keep = 1 - F.coalesce("c", F.lit(0)) / F.least("d", F.coalesce("dd", F.lit(1)))
         links = cut(both.select("src", "dst", (F.col("w") * F.greatest(keep, F.lit(0.05))).alias("w")))
+    cells, totals = guide(links.withColumnRenamed("w", "weight"))
     goal = max(1, int(view.nodes.count() * ratio + 0.5))
     spark = view.nodes.sparkSession
     seen, attempt, walkers = None, -1, max(walkers, goal // 8)
@@ -39,7 +64,8 @@ def _walk(view: View, ratio: float, restart: float, start_nodes, seed: int, walk
         else:
             fresh = view.ids if seen is None else view.ids.join(seen, "id", "left_anti")
             start = fresh.orderBy(F.xxhash64("id", F.lit(seed + attempt)), "id").limit(walkers)
-        walks = cut(start.select(F.col("id").alias("start"), F.col("id").alias("at")))
+        walks = start.join(totals, "id", "left").select(F.col("id").alias("start"), F.col("n").alias("start_n"), F.col("total").alias("start_total"), F.col("id").alias("at"), "n", "total")
+        walks = cut(walks)
         if is_empty(walks):
             break
         seen = cut(walks.select(F.col("at").alias("id")) if seen is None else seen.unionByName(walks.select(F.col("at").alias("id"))).distinct())
@@ -48,11 +74,11 @@ def _walk(view: View, ratio: float, restart: float, start_nodes, seed: int, walk
         idle, k = 0, 0
         while idle < 3:
             k += 1
-            step = walks.join(links, walks["at"] == links["src"], "left")
-            key = F.log(_unit("start", "dst", F.lit(k), F.lit(seed + attempt))) / F.col("w")
-            chosen = step.groupBy("start", "at").agg(F.max(F.struct(key.alias("key"), "dst")).alias("c"))
-            back = (_unit("start", F.lit(k), F.lit(seed + attempt + 7)) < restart) | F.col("c.dst").isNull()
-            walks = cut(chosen.select("start", F.when(back, F.col("start")).otherwise(F.col("c.dst")).alias("at")))
+            stepped = drawn(walks, cells, unit("start", F.lit(k), F.lit(seed + attempt)))
+            stuck = walks.filter("n IS NULL").withColumns({"dst": F.lit(None).cast("long"), "next_n": F.lit(None).cast("long"), "next_total": F.lit(None).cast("double")})
+            back = (unit("start", F.lit(k), F.lit(seed + attempt), F.lit("back")) < restart) | F.col("dst").isNull()
+            to = lambda home, on: F.when(back, F.col(home)).otherwise(F.col(on))  # noqa: E731, B023
+            walks = cut(stepped.select(*stuck.columns).unionByName(stuck).select("start", "start_n", "start_total", to("start", "dst").alias("at"), to("start_n", "next_n").alias("n"), to("start_total", "next_total").alias("total")), walks)
             before = seen.count()
             seen = cut(seen.unionByName(walks.select(F.col("at").alias("id"))).distinct())
             now = seen.count()

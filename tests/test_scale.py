@@ -1,14 +1,13 @@
 """Steps whose cost may not grow faster than their input, against plain definitions."""
 
-import itertools
 import random
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from skein.graph import View
-from skein.operators import draws, paths
+from skein.operators import draws, paths, sampling
+from skein.sources.project import from_tables
 
 
 def frame(spark, edges):
@@ -46,3 +45,19 @@ def test_walks_past_a_hub(spark):
     """A step that read all relationships of the hub would read 400 million rows."""
     walks = paths.random_walk(star(spark, 20000), 4, 1, 0.5, 2.0).select(F.get("nodeIds", F.lit(0)).alias("a"), F.size("nodeIds").alias("n"), (F.expr("filter(nodeIds, (x, i) -> i > 0 AND (x = 0) = (nodeIds[i - 1] = 0))")).alias("wrong"))
     assert walks.filter("n = 4 AND size(wrong) = 0").count() == walks.select("a").distinct().count() == 20001
+
+
+def test_common_ends(spark):
+    rng = random.Random(1)
+    pairs = sorted({(rng.randrange(14), rng.randrange(14)) for _ in range(90)})  # with loops
+    got = {(r["src"], r["dst"]): r["c"] for r in sampling._shared(frame(spark, [(*p, 1) for p in pairs])).collect()}
+    out = {a: {y for x, y in pairs if x == a} for a in range(14)}
+    assert {p: got.get(p, 0) for p in pairs} == {(a, b): len(out[a] & out[b]) for a, b in pairs}
+
+
+def test_samples_past_a_hub(spark):
+    """Leaves of one node, paired with each other, would be 400 million pairs."""
+    v = star(spark, 20000)
+    graph = from_tables(v.nodes.select(F.col("id").alias("nodeId"), F.array(F.lit("N")).alias("labels")), v.edges.select(F.col("src").alias("sourceNodeId"), F.col("dst").alias("targetNodeId")))
+    for f in (sampling.rwr, sampling.cnarw):
+        assert f(graph, sampling_ratio=0.1).nodes.count() == 2000
