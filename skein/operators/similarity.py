@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein.functions.vectors import property_metric
 from skein.graph import ALL, View
+from skein.operators.nearest import Score, nearest
 from skein.plans.iterate import cut
 
 #: Common targets with more neighbours than this are dealt with in blocks of sources.
@@ -110,7 +112,7 @@ def knn(
 ) -> DataFrame:
     """(node1, node2, similarity): each node's most similar others by its properties.
 
-    Every node is compared with all others, in blocks: source blocks meet target blocks. Only if
+    Every node is compared with all others, in blocks, vectors by matrix products: see nearest(). Only if
     exact_up_to is given and there are more nodes, the result is approximate: neighbour lists
     start random and are improved, new and sampled old and reverse neighbours of a node are compared with each other, with
     random_joins random nodes more, until no more than a share delta_threshold changes."""
@@ -122,21 +124,65 @@ def knn(
     n = nodes.count()
     sources, targets = _among(nodes, source_node_filter, "node1"), _among(nodes, target_node_filter, "node2")
     if exact_up_to is None or n <= exact_up_to:
-        blocks = max(1, -(-n // 1024))
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        a = nodes.select(F.col("id").alias("node1"), block.alias("i"), every.alias("j"), *(F.col(p).alias(f"a_{p}") for p in props))
-        b = nodes.select(F.col("id").alias("node2"), block.alias("j"), every.alias("i"), *(F.col(p).alias(f"b_{p}") for p in props))
-        a = a if sources is None else a.join(F.broadcast(sources), "node1", "left_semi")
-        b = b if targets is None else b.join(F.broadcast(targets), "node2", "left_semi")
-        value = sum((property_metric(types[p], m, F.col(f"a_{p}"), F.col(f"b_{p}")) for p, m in props.items()), F.lit(0.0)) / len(props)
-        pairs = a.join(b, ["i", "j"]).filter("node1 <> node2").select("node1", "node2", value.alias("similarity"))
-        best = top(pairs, "node1", top_k)
+        best = _exact(nodes, props, types, top_k, sources, targets)
     else:
         best = _descent(nodes, props, types, top_k, sample_rate, delta_threshold, max_iterations, random_joins, random_seed, sources, targets, n)
     return best.filter(F.col("similarity") >= similarity_cutoff)
 
 
+def _blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left joined with all of right, in blocks."""
+    a, b = (max(1, -(-df.count() // 1024)) for df in (left, right))
+    deal = lambda df, own, count, other, others: df.withColumns({own: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
+    left, right = deal(left, "i", a, "j", b).withColumnRenamed("id", "node1"), deal(right, "j", b, "i", a).withColumnRenamed("id", "node2")
+    return left.join(right, ["i", "j"]).drop("i", "j").filter("node1 <> node2")
+
+
+def _pairwise(sources: DataFrame, targets: DataFrame, columns: list[str], score: Column, without: DataFrame | None = None) -> DataFrame:
+    """(node1, node2, similarity) of all pairs, by an expression over a_ and b_ columns."""
+    pairs = _blocks(sources.select("id", *(F.col(c).alias(f"a_{c}") for c in columns)), targets.select("id", *(F.col(c).alias(f"b_{c}") for c in columns))).select("node1", "node2", score.alias("similarity"))
+    return pairs if without is None else pairs.join(without, ["node1", "node2"], "left_anti")
+
+
+def _by_vectors(sources: DataFrame, targets: DataFrame, column: str, kind: Score, score: Column, k: int, bottom: bool = False, without: DataFrame | None = None) -> DataFrame:
+    """The k best a source of _pairwise(). Pairs of vectors of the usual length whose numbers are all there
+    and in range are scored by nearest(), all others by the expression."""
+    size = targets.filter(F.size(column) > 0).groupBy(F.size(column).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    dim = size["n"] if size else 0
+    if kind.shift is not None and (len(kind.shift) != dim or not (np.abs(kind.shift) < 1e70).all()):
+        dim = 0
+    length = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, v: s + v * v))
+    # in range: squares and products neither overflow nor vanish
+    good = F.coalesce((F.size(column) == dim) & F.forall(column, lambda v: v.isNotNull() & ((v == 0) | F.abs(v).between(1e-70, 1e70))) & ((length == 0) | length.between(1e-70, 1e70)), F.lit(False)) if dim else F.lit(False)
+    mark = lambda df: df.withColumn("__good", good)
+    sources, targets = mark(sources), mark(targets)
+    split = lambda df, yes: df.filter(F.col("__good") if yes else ~F.col("__good"))
+    found = nearest(split(sources, True).select("id", F.col(column).alias("x")), split(targets, True).select("id", F.col(column).alias("x")), dim, kind, k, without) if dim else None
+    if found is not None:
+        found = found.select("node1", "node2", (-F.col("score") if bottom else F.col("score")).alias("similarity"))
+    rest = None
+    for a, b in ((split(sources, False), targets), (split(sources, True), split(targets, False))):
+        if not a.isEmpty() and not b.isEmpty():
+            more = _pairwise(a, b, [column], score, without)
+            rest = more if rest is None else rest.unionByName(more)
+    both = [x for x in (found, rest) if x is not None]
+    if not both:
+        return sources.limit(0).select(F.col("id").alias("node1"), F.col("id").alias("node2"), F.lit(0.0).alias("similarity"))
+    return top(both[0] if len(both) == 1 else both[0].unionByName(both[1]), "node1", k, bottom)
+
+
+def _exact(nodes: DataFrame, props: dict[str, str], types: dict[str, str], k: int, sources: DataFrame | None, targets: DataFrame | None) -> DataFrame:
+    among = lambda ids, name: nodes if ids is None else cut(nodes.join(ids.withColumnRenamed(name, "id"), "id", "left_semi"))
+    a, b = among(sources, "node1"), among(targets, "node2")
+    value = sum((property_metric(types[p], m, F.col(f"a_{p}"), F.col(f"b_{p}")) for p, m in props.items()), F.lit(0.0)) / len(props)
+    [(name, metric), *others] = props.items()
+    metric = "COSINE" if metric.upper() == "DEFAULT" and types[name] in ("array<double>", "array<float>") else metric.upper()
+    if others or not types[name].startswith("array") or metric not in ("COSINE", "EUCLIDEAN", "PEARSON"):
+        return top(_pairwise(a, b, list(props), value), "node1", k)
+    double = lambda df: df.withColumn(name, F.col(name).cast("array<double>"))
+    return _by_vectors(double(a), double(b), name, Score(metric), value, k)
+
+
 def _descent(nodes, props, types, k, rate, delta, rounds, random_joins, seed, sources, targets, n) -> DataFrame:
     # random picks are the ids of a hash bucket; only targets are dealt into buckets, about four to each
     pool = nodes.select("id") if targets is None else cut(nodes.select("id").join(targets.withColumnRenamed("node2", "id"), "id", "left_semi"))
@@ -233,21 +279,16 @@ def kge_predict(view: View, node_embedding_property: str, relationship_type_embe
     e = F.col(node_embedding_property).cast("array<double>")
     nodes = cut(view.nodes.filter(F.col(node_embedding_property).isNotNull()).select("id", e.alias("x"), *(["labels"] if "labels" in view.nodes.columns else [])))
     rel = F.array(*(F.lit(float(v)) for v in relationship_type_embedding))
-    blocks = max(1, -(-nodes.count() // 1024))
-    block, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = nodes.select(F.col("id").alias("node1"), F.col("x").alias("h"), block.alias("i"), every.alias("j"))
-    b = nodes.select(F.col("id").alias("node2"), F.col("x").alias("t"), block.alias("j"), every.alias("i"))
-    sources, targets = _among(nodes, source_node_filter, "node1"), _among(nodes, target_node_filter, "node2")
-    a = a if sources is None else a.join(sources, "node1", "left_semi")
-    b = b if targets is None else b.join(targets, "node2", "left_semi")
+    a, b = (nodes if ids is None else cut(nodes.join(ids.toDF("id"), "id", "left_semi")) for ids in (_among(nodes, source_node_filter, "node1"), _among(nodes, target_node_filter, "node2")))
     if scoring_function.lower() == "transe":
-        terms = F.zip_with(F.zip_with("h", rel, lambda x, y: x + y), "t", lambda x, y: (x - y) * (x - y))
+        terms = F.zip_with(F.zip_with("a_x", rel, lambda x, y: x + y), "b_x", lambda x, y: (x - y) * (x - y))
         score = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
     elif scoring_function.lower() == "distmult":
-        terms = F.zip_with(F.zip_with("h", rel, lambda x, y: x * y), "t", lambda x, y: x * y)
+        terms = F.zip_with(F.zip_with("a_x", rel, lambda x, y: x * y), "b_x", lambda x, y: x * y)
         score = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
     else:
         raise ValueError(f"no scoring function {scoring_function}")
-    linked = view.edges.select(F.col("src").alias("node1"), F.col("dst").alias("node2"))
-    pairs = a.join(b, ["i", "j"]).filter("node1 <> node2").select("node1", "node2", score.alias("similarity")).join(linked, ["node1", "node2"], "left_anti")
-    return top(pairs, "node1", top_k, scoring_function.lower() == "transe").withColumnRenamed("similarity", "score")
+    linked = cut(view.edges.select(F.col("src").alias("node1"), F.col("dst").alias("node2")).distinct())
+    kind = Score(scoring_function.upper(), np.array([float(v) for v in relationship_type_embedding]))
+    found = _by_vectors(a, b, "x", kind, score, top_k, kind.kind == "TRANSE", None if linked.isEmpty() else linked)
+    return found.withColumnRenamed("similarity", "score")

@@ -1,12 +1,15 @@
 """Steps whose cost may not grow faster than their input, against plain definitions."""
 
+import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from skein.functions.vectors import property_metric
 from skein.graph import View
-from skein.operators import draws, paths, sampling
+from skein.operators import draws, nearest, paths, sampling, similarity
 from skein.sources.project import from_tables
 
 
@@ -61,3 +64,54 @@ def test_samples_past_a_hub(spark):
     graph = from_tables(v.nodes.select(F.col("id").alias("nodeId"), F.array(F.lit("N")).alias("labels")), v.edges.select(F.col("src").alias("sourceNodeId"), F.col("dst").alias("targetNodeId")))
     for f in (sampling.rwr, sampling.cnarw):
         assert f(graph, sampling_ratio=0.1).nodes.count() == 2000
+
+
+def odd_vectors(spark, n, dim, seed):
+    """Vectors with copies, zeros, and some of nulls, NaN, infinities, other lengths, or none at all."""
+    rng = random.Random(seed)
+    rows = [(i, [float(rng.randint(-3, 3)) if i % 2 else rng.gauss(0, 1) for _ in range(dim)]) for i in range(n)]
+    rows += [(n + i, rows[5][1]) for i in range(15)] + [(n + 20 + i, [0.0] * dim) for i in range(3)]
+    rows += [(n + 30, [1.0, None] + [0.5] * (dim - 2)), (n + 31, [float("nan")] * dim), (n + 32, [1.0] * (dim - 1)), (n + 33, None), (n + 34, [float("inf")] + [0.0] * (dim - 1)), (n + 35, [1e-200] * dim), (n + 36, [])]
+    nodes = spark.createDataFrame([(i, x, ["N"]) for i, x in rows], "id long, x array<double>, labels array<string>")
+    return View(nodes, frame(spark, [(0, i, 1) for i in range(1, 60)] + [(n, 5, 1)]))
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "EUCLIDEAN", "PEARSON"])
+def test_knn_by_products(spark, metric, monkeypatch):
+    """The same to the last bit, and with the same ties, as the expression over all pairs."""
+    monkeypatch.setattr(nearest, "TILE", 64)
+    v = odd_vectors(spark, 300, 6, 1)
+    if metric == "PEARSON":
+        v = View(v.nodes.filter("id <> 336"), v.edges)  # an empty array has no mean
+    got = similarity.knn(v, {"x": metric}, 7).collect()
+    a, b = (v.nodes.select(F.col("id").alias(n), F.col("x").alias(c)) for n, c in (("node1", "a"), ("node2", "b")))
+    pairs = a.crossJoin(b).filter("node1 <> node2").select("node1", "node2", property_metric("array<double>", metric, F.col("a"), F.col("b")).alias("similarity"))
+    assert sorted(got) == sorted(similarity.top(pairs, "node1", 7).collect())
+
+
+@pytest.mark.parametrize("kind", ["TransE", "DistMult"])
+def test_links_by_products(spark, kind):
+    v = odd_vectors(spark, 200, 4, 2)
+    v = View(v.nodes.filter("id < 223 OR id = 235"), v.edges)  # scores of others are null or not a number
+    rel = [0.5, -1.0, 0.25, 2.0]
+    rows, linked = {r["id"]: r["x"] for r in v.nodes.collect()}, {(r["src"], r["dst"]) for r in v.edges.collect()}
+
+    def score(h, t):
+        parts = [(a + r - b) * (a + r - b) if kind == "TransE" else a * r * b for a, r, b in zip(h, rel, t)]
+        total = 0.0
+        for x in parts:
+            total += x
+        return math.sqrt(total) if kind == "TransE" else -total
+
+    want = set()
+    for i, h in rows.items():
+        best = sorted((score(h, t), j) for j, t in rows.items() if j != i and (i, j) not in linked)[:5]
+        want |= {(i, j, s if kind == "TransE" else -s) for s, j in best}
+    assert {tuple(r) for r in similarity.kge_predict(v, "x", rel, kind, 5).collect()} == want
+
+
+def test_vectors_do_not_move_for_each_other(spark):
+    """Each of 12,000 vectors is sent some times, not once for a thousand others."""
+    v = View(spark.range(12000).select("id", F.array(*(F.rand(k) for k in range(4))).alias("x")), frame(spark, [(0, 1, 1)]))
+    plan = similarity.knn(v, "x", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and "MapInArrow" in plan
