@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.vectors import scale
 from skein.graph import View
-from skein.operators.paths import bfs_levels, shortest_distances
+from skein.operators.paths import bfs_levels, fold_leaves, shortest_distances
 from skein.plans.iterate import EVERY, cut, is_empty, note
 
 
@@ -104,28 +104,46 @@ def degree(view: View, orientation: str = "NATURAL", scaler: str = "NONE") -> Da
     return scale(out, "score", scaler)
 
 
+def _reach(view: View) -> DataFrame:
+    """(node, n, far, near): of the nodes that reach a node their number, and the sums of their distances
+    and of the inverses. Leaves of one node are told from one of them: see fold_leaves()."""
+    sums = lambda size: (F.sum(size).alias("n"), F.sum(size * F.col("depth")).alias("far"), F.sum(size / F.col("depth")).alias("near"))
+    folded = fold_leaves(view)
+    if folded is None:
+        return bfs_levels(view, view.ids).filter("depth > 0").groupBy("node").agg(*sums(F.lit(1)))
+    small, members = folded
+    sizes = members.filter("id = rep").select(F.col("id").alias("source"), "size")
+    found = bfs_levels(small, small.ids).filter("depth > 0").join(sizes, "source").groupBy("node").agg(*sums(F.col("size")))
+    others = F.col("size") - 1
+    out = members.select(F.col("id").alias("member"), F.col("rep").alias("node"), "size").join(found, "node")
+    return out.select(F.col("member").alias("node"), (F.col("n") + others).alias("n"), (F.col("far") + 2 * others).alias("far"), (F.col("near") + others / 2).alias("near"))
+
+
 def closeness(view: View, use_wasserman_faust: bool = False) -> DataFrame:
     """Of the nodes that reach a node: their number over the sum of their distances."""
-    reached = bfs_levels(view, view.ids).filter("depth > 0").groupBy("node").agg(F.count("*").alias("n"), F.sum("depth").alias("far"))
     score = F.col("n") / F.col("far")
     if use_wasserman_faust:
         score = score * F.col("n") / F.lit(max(1, view.nodes.count() - 1))
-    out = view.ids.join(reached, F.col("id") == F.col("node"), "left")
+    out = view.ids.join(_reach(view), F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias("nodeId"), F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def harmonic(view: View) -> DataFrame:
     """The sum of inverse distances from all other nodes, over their number."""
     n = max(1, view.nodes.count() - 1)
-    reached = bfs_levels(view, view.ids).filter("depth > 0").groupBy("node").agg(F.sum(1 / F.col("depth")).alias("s"))
-    out = view.ids.join(reached, F.col("id") == F.col("node"), "left")
-    return out.select(F.col("id").alias("nodeId"), F.coalesce(F.col("s") / n, F.lit(0.0)).alias("score"))
+    out = view.ids.join(_reach(view), F.col("id") == F.col("node"), "left")
+    return out.select(F.col("id").alias("nodeId"), F.coalesce(F.col("near") / n, F.lit(0.0)).alias("score"))
 
 
 def betweenness(view: View, sampling_size: int | None = None, sampling_seed: int = 0) -> DataFrame:
     """Shortest paths through a node, by accumulation from the far ends of every source's
     shortest-path graph, all sources and a level at a time. With sampling_size that many
-    sources, chosen by degree and a seeded hash. Undirected scores are halved."""
+    sources, chosen by degree and a seeded hash. Undirected scores are halved. Without weights
+    one of a node's leaves stands for all of them, as source and as far end: see fold_leaves()."""
+    folded = fold_leaves(view) if sampling_size is None and not view.weighted else None
+    whole, sizes, view = view, None, view if folded is None else folded[0]
+    if folded is not None:
+        sizes = folded[1].filter("id = rep").select("id", "size", "hub")
     sources = view.ids
     if sampling_size is not None:
         chance = -F.log((F.pmod(F.xxhash64("id", F.lit(sampling_seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53))
@@ -161,13 +179,21 @@ def betweenness(view: View, sampling_size: int | None = None, sampling_seed: int
             passed = level.withColumn("x", F.lit(0.0))
         else:
             passed = level.join(share.withColumnRenamed("node", "dst"), ["source", "dst"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-        new = passed.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("r") * (1 + F.col("x"))).alias("x"))
+        if sizes is not None:
+            passed = passed.join(sizes.select(F.col("id").alias("dst"), "size"), "dst")
+        ends = F.lit(1) if sizes is None else F.col("size")
+        new = passed.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("r") * (ends + F.col("x"))).alias("x"))
         share = cut(new if share is None else share.unionByName(new).groupBy("source", "node").agg(F.sum("x").alias("x")))
     half = 2.0 if view.undirected else 1.0
     if share is None:
-        return view.ids.select(F.col("id").alias("nodeId"), F.lit(0.0).alias("score"))
-    total = share.filter("source <> node").groupBy(F.col("node").alias("id")).agg((F.sum("x") / half).alias("score"))
-    return view.ids.join(total, "id", "left").select(F.col("id").alias("nodeId"), F.coalesce("score", F.lit(0.0)).alias("score"))
+        return whole.ids.select(F.col("id").alias("nodeId"), F.lit(0.0).alias("score"))
+    share = share.filter("source <> node").select("source", F.col("node").alias("id"), "x")
+    if sizes is not None:
+        share = share.join(sizes.select(F.col("id").alias("source"), "size"), "source").select("id", (F.col("x") * F.col("size")).alias("x"))
+        # from leaf to leaf of one node, all paths pass it
+        share = share.unionByName(sizes.filter("size > 1").select(F.col("hub").alias("id"), (F.col("size") * (F.col("size") - 1)).cast("double").alias("x")))
+    total = share.groupBy("id").agg((F.sum("x") / half).alias("score"))
+    return whole.ids.join(total, "id", "left").select(F.col("id").alias("nodeId"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def _longest_levels(nodes: DataFrame, steps: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.vectors import property_metric
 from skein.graph import View
-from skein.operators import draws, nearest, paths, sampling, similarity
+from skein.operators import centrality, draws, nearest, paths, sampling, similarity
 from skein.sources.project import from_tables
 
 
@@ -115,3 +115,40 @@ def test_vectors_do_not_move_for_each_other(spark):
     v = View(spark.range(12000).select("id", F.array(*(F.rand(k) for k in range(4))).alias("x")), frame(spark, [(0, 1, 1)]))
     plan = similarity.knn(v, "x", 3)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and "MapInArrow" in plan
+
+
+def leafy(spark, seed):
+    """A random graph whose nodes have many leaves, a star, a pair, and a node alone."""
+    rng = random.Random(seed)
+    pairs = {(a, b) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(16)) if a < b} | {(rng.randrange(12), k) for k in range(12, 40)}
+    pairs |= {(40, k) for k in range(41, 46)} | {(46, 47)}
+    both = View(spark.range(49).select("id"), frame(spark, [(a, b, 1) for a, b in sorted(pairs)])).both_ways()
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(49)}
+    far = {}
+    for i in near:
+        dist, queue = {i: 0}, [i]
+        for x in queue:
+            for y in sorted(near[x] - set(dist)):
+                dist[y] = dist[x] + 1
+                queue.append(y)
+        far[i] = dist
+    return both, near, far
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaves_are_told_from_one(spark, seed):
+    v, near, far = leafy(spark, seed)
+    assert paths.fold_leaves(v)[0].nodes.count() < 30
+    got = sorted(tuple(r) for r in paths.all_pairs(v).collect())
+    assert got == sorted((i, j, float(d)) for i in far for j, d in far[i].items() if i != j)
+    for f, want in ((centrality.closeness, lambda d: len(d) / sum(d) if d else 0), (centrality.harmonic, lambda d: sum(1 / x for x in d) / 48)):
+        found = {r["nodeId"]: r["score"] for r in f(v).collect()}
+        assert len(found) == 49 and all(abs(found[i] - want([d for d in far[i].values() if d])) < 1e-9 for i in far)
+
+    def count(i, j):
+        return 1 if i == j else sum(count(i, k) for k in near[j] if far[i].get(k, 99) == far[i][j] - 1)
+
+    paths_ = {(i, j): count(i, j) for i in far for j in far[i]}
+    want = {v_: sum(paths_[i, v_] * paths_[v_, j] / paths_[i, j] for i in far[v_] for j in far[v_] if i < j and v_ not in (i, j) and far[i][v_] + far[v_][j] == far[i][j]) for v_ in far}
+    found = {r["nodeId"]: r["score"] for r in centrality.betweenness(v).collect()}
+    assert len(found) == 49 and all(abs(found[i] - want[i]) < 1e-9 for i in want)
