@@ -135,7 +135,8 @@ def _blocks(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = (max(1, -(-df.count() // 1024)) for df in (left, right))
     deal = lambda df, own, count, other, others: df.withColumns({own: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
     left, right = deal(left, "i", a, "j", b).withColumnRenamed("id", "node1"), deal(right, "j", b, "i", a).withColumnRenamed("id", "node2")
-    return left.join(right, ["i", "j"]).drop("i", "j").filter("node1 <> node2")
+    # exploded, a side is much larger than Spark takes it for, so it may not be broadcast
+    return left.join(right.hint("merge"), ["i", "j"]).drop("i", "j").filter("node1 <> node2")
 
 
 def _pairwise(sources: DataFrame, targets: DataFrame, columns: list[str], score: Column, without: DataFrame | None = None) -> DataFrame:
