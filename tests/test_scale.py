@@ -2,14 +2,16 @@
 
 import math
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import property_metric
 from skein.graph import View
-from skein.operators import centrality, draws, nearest, paths, sampling, similarity
+from skein.operators import centrality, draws, ml, nearest, paths, sampling, similarity
 from skein.sources.project import from_tables
 
 
@@ -152,3 +154,64 @@ def test_leaves_are_told_from_one(spark, seed):
     want = {v_: sum(paths_[i, v_] * paths_[v_, j] / paths_[i, j] for i in far[v_] for j in far[v_] if i < j and v_ not in (i, j) and far[i][v_] + far[v_][j] == far[i][j]) for v_ in far}
     found = {r["nodeId"]: r["score"] for r in centrality.betweenness(v).collect()}
     assert len(found) == 49 and all(abs(found[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_links_of_few_kinds(spark):
+    """The same pairs as from scoring all, without scoring all."""
+    v = star(spark, 60)
+    nodes = v.nodes.withColumn("x", (F.col("id") % 3).cast("double"))
+    rng = random.Random(3)
+    more = frame(spark, [(a, b, 1) for a, b in {tuple(sorted(rng.sample(range(1, 61), 2))) for _ in range(400)}])
+    v = View(nodes, v.edges.unionByName(View(v.nodes, more).both_ways().edges), True)
+    pipeline = ml.Pipeline("link").add_feature("HADAMARD", ["x"]).configure_split(validationFolds=2).add("LogisticRegression", maxEpochs=5)
+    model = ml.train_link_pipeline(pipeline, None, v, lambda w: v.nodes)
+    everything = ml.predict_links(model, v, nodes).orderBy(F.desc("probability"), "node1", "node2").collect()
+    links = v.edges.toDF("node1", "node2", "w").drop("w").distinct()
+    for n in (5, 300, len(everything) + 10):
+        assert ml._best_of_kinds(model, links, nodes, n, 0.0).collect() == everything[:n]
+    assert ml._best_of_kinds(model, links, nodes.withColumn("x", F.rand(1)).unionByName(spark.range(100, 400).select("id", F.rand(2).alias("x"))), 5, 0.0) is None
+
+
+def one_event_at_a_time(edges, prizes):
+    """What _grown() does, an edge or a prize at a time, all edges looked at for each."""
+    part, left, grown, members, forest = list(range(len(prizes))), list(prizes), [0.0] * len(prizes), {n: [n] for n in range(len(prizes))}, []
+    while active := [c for c in members if left[c] > 1e-12]:
+        step, event = min((left[c], (c,)) for c in active)
+        for a, b, w in edges:
+            speed = (left[part[a]] > 1e-12) + (left[part[b]] > 1e-12)
+            if part[a] != part[b] and speed and (w - grown[a] - grown[b]) / speed < step - 1e-12:
+                step, event = (w - grown[a] - grown[b]) / speed, (a, b)
+        for c in active:
+            left[c] -= max(step, 0.0)
+            for n in members[c]:
+                grown[n] += max(step, 0.0)
+        if len(event) == 1:
+            left[event[0]] = 0.0
+            continue
+        forest.append(event)
+        x, y = part[event[0]], part[event[1]]
+        for n in members[y]:
+            part[n] = x
+        members[x] += members.pop(y)
+        left[x] += left[y]
+        left[y] = 0.0
+    return forest
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_growth_by_prizes(seed):
+    rng = random.Random(seed)
+    n = 60
+    draw = (lambda: rng.uniform(0, 6)) if seed % 2 else (lambda: float(rng.randint(0, 6)))
+    pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(120)}) if seed % 2 else [(rng.randrange(k), k) for k in range(1, n)]  # ties in trees only
+    edges, prizes = [(a, b, draw() + 1) for a, b in pairs], [draw() for _ in range(n)]
+    a, b, w = (np.array(c) for c in zip(*edges))
+    assert sorted(paths._grown(a, b, w.astype(float), np.array(prizes))) == sorted(one_event_at_a_time(edges, prizes))
+
+
+def test_growth_of_a_star():
+    """Some rounds, not one for each of 50,000 leaves."""
+    n = 50_000
+    begun = time.process_time()
+    forest = paths._grown(np.zeros(n, int), np.arange(1, n + 1), np.full(n, 2.0), np.arange(n + 1) % 7.0)
+    assert len(forest) > n // 2 and time.process_time() - begun < 60
