@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from skein.graph import Graph, View, within
 from skein.operators.draws import drawn, guide, unit
-from skein.plans.iterate import cut, is_empty
+from skein.plans.iterate import cut, is_empty, smallest
 
 
 def _shared(links: DataFrame) -> DataFrame:
@@ -63,14 +63,14 @@ def _walk(view: View, ratio: float, restart: float, start_nodes, seed: int, walk
             start = spark.createDataFrame([(int(i),) for i in start_nodes], "id long")
         else:
             fresh = view.ids if seen is None else view.ids.join(seen, "id", "left_anti")
-            start = fresh.orderBy(F.xxhash64("id", F.lit(seed + attempt)), "id").limit(walkers)
+            start = smallest(fresh, walkers, F.xxhash64("id", F.lit(seed + attempt)), "id")
         walks = start.join(totals, "id", "left").select(F.col("id").alias("start"), F.col("n").alias("start_n"), F.col("total").alias("start_total"), F.col("id").alias("at"), "n", "total")
         walks = cut(walks)
         if is_empty(walks):
             break
         seen = cut(walks.select(F.col("at").alias("id")) if seen is None else seen.unionByName(walks.select(F.col("at").alias("id"))).distinct())
         if seen.count() >= goal:
-            return seen.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(goal)
+            return smallest(seen, goal, F.xxhash64("id", F.lit(seed)), "id")
         idle, k = 0, 0
         while idle < 3:
             k += 1
@@ -83,7 +83,7 @@ def _walk(view: View, ratio: float, restart: float, start_nodes, seed: int, walk
             seen = cut(seen.unionByName(walks.select(F.col("at").alias("id"))).distinct())
             now = seen.count()
             if now >= goal:
-                return seen.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(goal)
+                return smallest(seen, goal, F.xxhash64("id", F.lit(seed)), "id")
             idle = idle + 1 if now == before else 0
     return seen if seen is not None else view.ids.limit(0)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skein.functions.vectors import property_metric
 from skein.graph import View
 from skein.operators import centrality, draws, ml, nearest, paths, sampling, similarity
+from skein.plans import iterate
 from skein.sources.project import from_tables
 
 
@@ -215,3 +216,22 @@ def test_growth_of_a_star():
     begun = time.process_time()
     forest = paths._grown(np.zeros(n, int), np.arange(1, n + 1), np.full(n, 2.0), np.arange(n + 1) % 7.0)
     assert len(forest) > n // 2 and time.process_time() - begun < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 700, 2999, 3000, 5000])
+def test_smallest(spark, n, monkeypatch):
+    monkeypatch.setattr(iterate, "LISTED", 0)
+    rows = spark.range(1500).select("id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("s"))
+    got = iterate.smallest(rows, n, F.xxhash64("id"), "id", "s")
+    assert sorted(got.collect()) == sorted(rows.orderBy(F.xxhash64("id"), "id", "s").limit(n).collect())
+
+
+def test_holdouts_are_not_gathered(spark):
+    """Half of 60,000 relationships are held out without a task that lists them."""
+    v = spark.range(60000)
+    rels = v.select(F.col("id").alias("sourceNodeId"), (F.col("id") + 1).alias("targetNodeId"))
+    graph = from_tables(spark.range(60001).select(F.col("id").alias("nodeId"), F.array(F.lit("N")).alias("labels")), rels)
+    plan = ml._first(graph.rels, 30000, "sourceNodeId", "targetNodeId")._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit 30000" not in plan
+    found = ml.split_relationships(graph, 0.5, 0.0).rels.groupBy("relationshipType").count().collect()
+    assert {r[0]: r[1] for r in found if r[0] in ("TEST", "REMAINING")} == {"TEST": 30000, "REMAINING": 30000}
