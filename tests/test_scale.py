@@ -235,3 +235,35 @@ def test_holdouts_are_not_gathered(spark):
     assert "GlobalLimit 30000" not in plan
     found = ml.split_relationships(graph, 0.5, 0.0).rels.groupBy("relationshipType").count().collect()
     assert {r[0]: r[1] for r in found if r[0] in ("TEST", "REMAINING")} == {"TEST": 30000, "REMAINING": 30000}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_yens_on_few_edges(spark, seed):
+    """The cheapest of all loopless paths, found on a part of the edges."""
+    rng = random.Random(seed)
+    edges = [(*rng.sample(range(9), 2), rng.uniform(0, 5) if seed < 3 else float(rng.randint(0, 3))) for _ in range(30)] + [(20, 21, 1)]
+    cost = {}
+    for a, b, w in edges:
+        cost[a, b] = min(w, cost.get((a, b), w))
+    every, stack = [], [([0], [0.0])]
+    while stack:
+        path, sums = stack.pop()
+        if path[-1] == 8:
+            every.append((sums[-1], path))
+            continue
+        stack += [([*path, b], [*sums, sums[-1] + w]) for (a, b), w in cost.items() if a == path[-1] and b not in path]
+    v = View(spark.range(22).select("id"), frame(spark, edges), False, True)
+    for k in (1, 4, len(every) + 5):
+        got = [(r["totalCost"], r["nodeIds"]) for r in paths.yens(v, 0, 8, k).orderBy("index").collect()]
+        assert len(got) == min(k, len(every)) and all(abs(c - d) < 1e-9 for (c, _), (d, _) in zip(got, sorted(every)))
+        assert len({tuple(p) for _, p in got}) == len(got) and all((c, p) in [(x, y) for x, y in every] or seed < 3 for c, p in got)
+    assert paths.yens(v, 0, 21, 2).count() == 0 and [r["nodeIds"] for r in paths.yens(v, 20, 20, 2).collect()] == [[20]]
+
+
+def test_few_edges_lie_between(spark):
+    rng = random.Random(5)
+    edges = [(*rng.sample(range(300), 2), rng.randint(1, 50)) for _ in range(3000)]
+    v = View(spark.range(300).select("id"), frame(spark, edges), False, True)
+    far = paths.shortest_distances(v, v.ids.filter("id = 0")).select(F.col("node").alias("src"), F.col("cost").alias("before"))
+    least = far.filter("src = 7").first()["before"]
+    assert 0 < paths._between(v.edges.join(far, "src"), 7, least * 1.2).count() < 300
